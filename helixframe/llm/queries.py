@@ -9,14 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.session import table
 
 
+def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.quality import fit_quality, held_out, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model, threshold=0.3)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.sharding import shard_by_splitters
 
     return shard_by_splitters(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_whole_token_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.tokens import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), limit=512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_sampled_splitters,)
+    found = (op3_quadratic_discriminant, op4_sampled_splitters, op7_whole_token_shortcut)
     return {f.__name__: f for f in found}
 
 
