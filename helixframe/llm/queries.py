@@ -24,6 +24,12 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op6_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.warc import round_trip
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op3_quadratic_discriminant,
         op4_sampled_splitters,
+        op5_hash_prefix_forest,
         op6_revisit_resolution,
         op7_whole_token_shortcut,
         op9_variable_capacity,
