@@ -59,6 +59,12 @@ def op7_whole_token_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op8_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_variable_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.packing import pack
 
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_hash_prefix_forest,
         op6_revisit_resolution,
         op7_whole_token_shortcut,
+        op8_block_max_wand,
         op9_variable_capacity,
         op10_markov_ratio,
     )
