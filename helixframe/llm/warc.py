@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.session import stored_path
+from helixframe.session import stored, stored_path
 
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "
@@ -128,19 +128,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = files.mapInArrow(run, "page_id long, record_type string, record_id string, refers string, n_bytes long, digest string")
-    originals = (
+    parsed = files.mapInArrow(run, "page_id long, record_type string, record_id string, refers string, n_bytes long, digest string")
+    found = stored(parsed, "warc-records")
+    originals = stored(  # a table, so that the join can split an original that very many records refer to
         found.where(F.col("record_type") == "response")
         .groupBy("record_id")
         .agg(F.first("page_id").alias("original"), F.first("n_bytes").alias("original_bytes"), F.first("digest").alias("original_digest"))
-        .withColumnRenamed("record_id", "original_id")
+        .withColumnRenamed("record_id", "original_id"),
+        "warc-originals",
     )
-    return found.join(originals, F.col("refers") == F.col("original_id"), "left").select(
+    revisits = found.where(F.col("record_type") == "revisit").join(originals, F.col("refers") == F.col("original_id"), "left")
+    return revisits.select(
         "page_id",
         "record_type",
-        F.coalesce("n_bytes", "original_bytes").alias("payload_bytes"),
+        F.col("original_bytes").alias("payload_bytes"),
         F.coalesce("original_digest", "digest").alias("payload_digest"),
         F.col("original").alias("refers_to"),
+    ).unionByName(
+        found.where(F.col("record_type") == "response").select(
+            "page_id", "record_type", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to")
+        )
     )
 
 
