@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.session import stored
+
 ORDER = 3
 ALPHABET = 32
 MODEL_ROWS = ALPHABET ** (ORDER + 1)
@@ -105,11 +107,13 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id
         F.count_if(F.col("ruled") == "allow").alias("accepted"), F.count_if(F.col("ruled") == "block").alias("rejected")
     )
     model = markov_ratio(counts)
-    scores = (  # a url that is repeated has as many more rows in the sum as in the count
+    scores = stored(  # a table, so that the join below can split a url that very many rows have; a url that is repeated has
+        # as many more rows in the sum as in the count
         exploded.join(F.broadcast(model), "gram")
         .groupBy("symbols")
         .agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("r"))
-        .withColumn("score", F.col("ratio") / F.col("n") / 1e6)
+        .withColumn("score", F.col("ratio") / F.col("n") / 1e6),
+        "url-scores",
     )
     binned = scores.withColumn("bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(-8.0)), F.lit(8.0)) * 250).cast("int"))
     per_url = F.length("symbols") - ORDER
