@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.session import table
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.quality import fit_quality, held_out, score_quality
 
@@ -85,6 +91,7 @@ def op10_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_minhash_forest,
         op3_quadratic_discriminant,
         op4_sampled_splitters,
         op5_hash_prefix_forest,
