@@ -16,24 +16,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixframe.llm.common import of_ids
 from helixframe.llm.shingles import MinHash, shingle_set
 from helixframe.operators.components import connected_components
 from helixframe.session import stored
 
 WORD = 4  # bytes of a minimum
-#: The most ids that are broadcast to choose texts by; beyond it texts are shuffled.
-BROADCAST_IDS = 200_000
-
-
-def of_ids(docs: DataFrame, ids: DataFrame, count: int, how: str = "inner") -> DataFrame:
-    """docs joined by doc_id to ids, which has `count` rows."""
-    return docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids.hint("merge"), "doc_id", how)
 
 
 def shingled(docs: DataFrame, words: int, minima: int) -> DataFrame:
@@ -156,15 +151,13 @@ def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> Da
     ranked = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
     sample = large.withColumn("at", F.row_number().over(ranked)).where("at <= 512").select("component", "signature")
 
-    def commonest(key: tuple, frames) -> Iterator:
-        import pandas as pd
-
-        found = np.stack([np.frombuffer(x, ">u4") for f in frames for x in f["signature"]]).astype(np.uint32)
+    def commonest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = np.stack([np.frombuffer(x, ">u4") for x in frame["signature"]]).astype(np.uint32)
         common = []
         for column in found.T:
             values, counts = np.unique(column, return_counts=True)
             common.append(values[counts.argmax()])
-        yield pd.DataFrame({"of": [key[0]], "common": [np.array(common, ">u4").tobytes()]})
+        return pd.DataFrame({"of": [key[0]], "common": [np.array(common, ">u4").tobytes()]})
 
     modes = stored(sample.groupBy("component").applyInPandas(commonest, "of long, common binary"), "forest-modes")
     agree = sum(

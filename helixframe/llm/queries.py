@@ -15,6 +15,12 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.quality import fit_quality, held_out, score_quality
 
@@ -92,6 +98,7 @@ def op10_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_forest,
+        op2_suffix_merge,
         op3_quadratic_discriminant,
         op4_sampled_splitters,
         op5_hash_prefix_forest,
