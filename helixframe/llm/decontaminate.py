@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -214,13 +215,18 @@ class Asker:
         return sorted((self.index.items[i][0], *x) for i, x in best.items())
 
 
+def _indexes(benchmark: DataFrame, max_index_bytes: int) -> Iterator[BlockMaxIndex]:
+    """The items, dealt by a hash to indexes of about max_index_bytes of text."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, -(-size // max_index_bytes))
+    for chunk in range(chunks):
+        items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()
+        yield BlockMaxIndex(sorted((r["item_id"], r["text"]) for r in items))
+
+
 def find_leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    threshold: float = 0.5,
-    overlap: float = 0.6,
-    max_index_bytes: int = 8_000_000,
-    keep_all: bool = False,
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_index_bytes: int = 8_000_000
 ) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: each test item that each document holds.
 
@@ -228,22 +234,27 @@ def find_leaks(
     that the item can reach in a passage; it must be at least `threshold`, and at least `overlap` of the item's question
     n-grams and of its answer n-grams must occur around that passage. Words are compared lower-cased, letters and
     digits only. Null and empty texts, of documents or items, match nothing; items without an id are left out; repeated
-    items each match, repeated rows are each reported. With keep_all, the result is instead all rows and columns of
-    docs with a boolean column __leaked.
+    items each match, repeated rows are each reported; without items or documents there are no rows. The size of the
+    items' text is measured; what goes to the workers at a time is bounded by max_index_bytes.
     """
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // max_index_bytes))
-    found = None
-    for chunk in range(chunks):
-        items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()
-        index = BlockMaxIndex(sorted((r["item_id"], r["text"]) for r in items))
-        if keep_all:
-            docs = _marked(docs, index, threshold, overlap, chunk > 0)
-        else:
-            part = _leaks(docs, index, threshold, overlap)
-            found = part if found is None else found.unionByName(part)
-    return docs if keep_all else found
+    parts = [_leaks(docs, index, threshold, overlap) for index in _indexes(benchmark, max_index_bytes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.6, max_index_bytes: int = 8_000_000
+) -> DataFrame:
+    """The rows of docs, with all their columns, for which find_leaks has no row. A null text stays."""
+    at = docs.columns.index("text")
+    for index in _indexes(benchmark, max_index_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex = index) -> Iterator[pa.RecordBatch]:
+            asker = Asker(index, threshold, overlap)
+            for b in batches:
+                yield b.filter(pa.array([not a for a in asker.ask([x.as_py() or "" for x in b.column(at)])], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def _leaks(docs: DataFrame, index: BlockMaxIndex, threshold: float, overlap: float) -> DataFrame:
@@ -262,19 +273,3 @@ def _leaks(docs: DataFrame, index: BlockMaxIndex, threshold: float, overlap: flo
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema)
-
-
-def _marked(docs: DataFrame, index: BlockMaxIndex, threshold: float, overlap: float, again: bool) -> DataFrame:
-    schema = docs.schema if again else T.StructType([*docs.schema, T.StructField("__leaked", T.BooleanType())])
-    text = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asker = Asker(index, threshold, overlap)
-        for b in batches:
-            leaked = [bool(a) for a in asker.ask([x.as_py() or "" for x in b.column(text)])]
-            columns = list(b.columns)
-            if again:
-                leaked = [x or y for x, y in zip(leaked, columns.pop().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(leaked, pa.bool_())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import of_ids
+from helixframe.llm.common import gathered, of_ids, small_batches
 from helixframe.llm.shingles import MinHash, shingle_set
 from helixframe.operators.components import connected_components
 from helixframe.session import stored
@@ -68,11 +68,8 @@ def _neighbour_edges(rows: DataFrame, trees: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, last, first = None, None, True
         borders: list[tuple] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            tree = b.column("tree").to_numpy(zero_copy_only=False)
+        for b in gathered(batches):
+            ids, tree = (b.column(c).to_numpy() for c in ("id", "tree"))
             key = np.stack([np.frombuffer(x, ">u4") for x in b.column("key").to_pylist()])
             common = (key[1:] == key[:-1]).all(1) & (tree[1:] == tree[:-1])  # the prefix of neighbours is `depth` long
             goes_on = np.concatenate([[last is not None and last == (tree[0], key[0].tobytes())], common])
@@ -203,10 +200,8 @@ def _deep_candidates(rows: DataFrame, trees: int, depth: int, most: int, least_s
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, labels, tree = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "tree"))
+        for b in gathered(batches):
+            ids, labels, tree = (b.column(c).to_numpy() for c in ("id", "label", "tree"))
             keys = np.stack([np.frombuffer(x, ">u4") for x in b.column("key").to_pylist()]).astype(np.uint32)
             same = keys[1:] == keys[:-1]
             common = np.concatenate([[0], np.where(same.all(1), same.shape[1], same.argmin(1)) * (tree[1:] == tree[:-1])])
@@ -228,6 +223,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     an id is linked with nothing, has a null component_id and is kept. Only doc_id and text are read; an empty table
     gives no rows.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent, words, trees, depth, most)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, depth: int, most: int) -> DataFrame:
     minima = trees * depth
     rows = stored(shingled(docs, words, minima), "forest-signatures")
     whole = rows.where("print is not null and doc_id is not null")
@@ -261,3 +261,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     found = rows.where(linked).join(groups_of, F.col("print") == F.col("of"), "left")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")).unionByName(alone)
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps. Of rows that share an id one stays."""
+    found = stored(near_duplicates(docs, percent), "near-duplicates")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    dropped = stored(found.where("not kept").select("doc_id").distinct(), "near-duplicates")
+    return of_ids(docs, dropped, dropped.count(), "left_anti").select(*docs.columns)

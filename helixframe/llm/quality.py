@@ -117,25 +117,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000
     return Discriminant.fit(np.stack(found["stats"].to_numpy())[order], y[order], to_pooled, to_identity)
 
 
-def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and predicted (1 if score >= threshold) of every row, and the columns named in keep.
+def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score and predicted (1 if score >= threshold) of every row.
 
     Only the text is an input. Null and empty texts have no counts and get the score of average rates. Without a model
-    (too few labels) every score is 1. Each row is scored by itself, so repeated ids are scored each.
+    (too few labels) every score is 1. Each row is scored by itself, so repeated ids are scored each; an empty table
+    gives no rows.
     """
-    extra = [F.col(c) for c in keep]
-    rows = docs.select(F.col("doc_id"), F.col("text").alias("text"), *extra)
-    schema = T.StructType(
-        [rows.schema["doc_id"], *(rows.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    )
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            stats = np.array([text_statistics(x.as_py()) for x in b.column(1)])
-            score = model.score(stats) if model else np.ones(b.num_rows)
-            kept = [b.column(0), *(b.column(2 + i) for i in range(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
+            score = _scores(model, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_quality(docs: DataFrame, model: Discriminant | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(model, b.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(model: Discriminant | None, texts: pa.Array) -> np.ndarray:
+    if not model or not len(texts):
+        return np.ones(len(texts))
+    return model.score(np.array([text_statistics(x.as_py()) for x in texts]))

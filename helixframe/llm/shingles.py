@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 50_000
 CHUNK = 16_384
 
 

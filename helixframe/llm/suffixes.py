@@ -597,3 +597,38 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         F.when(whole, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(empty)).otherwise(F.coalesce("sha", "digest")).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows of docs, with all their columns, less what remove_repeats removes from their texts.
+
+    A character that loses a part of its bytes goes as a whole. A document that keeps no word, and had some, goes. A
+    column n_chars gets the new length; a null text stays null.
+    """
+    judged, spans = repeated_spans(docs, length)
+    empty = stored(judged.where(F.col("copy") & (F.col("n_bytes") >= length)).select("doc_id").distinct(), "suffix-empty")
+    rows = of_ids(docs, empty, empty.count(), "left_anti").select(*docs.columns)
+    joined = with_spans(rows.withColumnRenamed("spans", "__own"), spans)
+    joined = joined.select(*("__own" if c == "spans" else c for c in docs.columns), F.col("spans").alias("__spans"))
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *columns, cuts = b.columns
+            texts, keep = [], []
+            for text, spans in zip(columns[at].to_pylist(), cuts.to_pylist(), strict=True):
+                if text is not None and spans:
+                    rest = kept_parts(text.encode(), spans)[0].decode(errors="ignore")
+                    keep.append(bool(rest.split()) or not text.split())
+                    text = rest
+                else:
+                    keep.append(True)
+                texts.append(text)
+            if chars is not None:
+                old = columns[chars]
+                columns[chars] = pa.array([None if c is None else len(t) if s else c for c, t, s in zip(old.to_pylist(), texts, cuts.to_pylist(), strict=True)], old.type)
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
