@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_BUBBLE_LENGTH, MAX_BUBBLE_GAPS, MAX_BUBBLE_DIVERGENCE = 200, 3, 0.2
@@ -26,11 +27,14 @@ def similar(a: str | None, b: str | None) -> bool:
     return common >= longer - MAX_BUBBLE_GAPS and 1 - common / longer <= MAX_BUBBLE_DIVERGENCE
 
 
-@F.pandas_udf("boolean")
-def sequences_similar(a: pd.Series, b: pd.Series) -> pd.Series:
+def _all_similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def sequences_similar(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_all_similar, "boolean")(a, b)
+
+
 def run_distance(a: str, b: str) -> int:
     """How far apart two k-mers are: the least cost over their common runs, k without one.
 
@@ -51,6 +55,9 @@ def run_distance(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("int")
-def kmer_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def _all_distances(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([run_distance(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def kmer_distance(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_all_distances, "int")(a, b)
