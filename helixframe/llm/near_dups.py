@@ -29,6 +29,9 @@ from helixframe.operators.components import connected_components
 from helixframe.session import stored
 
 WORD = 4  # bytes of a minimum
+#: About so many members of a large group tell its commonest minima; which member leads a block does not change results
+#: that are confirmed, only how many comparisons it takes.
+SAMPLE = 512
 
 
 def shingled(docs: DataFrame, words: int, minima: int) -> DataFrame:
@@ -143,10 +146,9 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, words: int, perce
 
 
 def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> DataFrame:
-    """doc_id, block: members (id, component, signature) of large groups in blocks of about `most`, each with the
+    """doc_id, block: members (id, component, n, signature) of large groups in blocks of about `most`, each with the
     member nearest to the group's commonest minima, as a bounded sample of the group has them."""
-    ranked = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
-    sample = large.withColumn("at", F.row_number().over(ranked)).where("at <= 512").select("component", "signature")
+    sample = large.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SAMPLE)) == 0).select("component", "signature")
 
     def commonest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = np.stack([np.frombuffer(x, ">u4") for x in frame["signature"]]).astype(np.uint32)
@@ -160,7 +162,7 @@ def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> Da
     agree = sum(
         (F.substring("signature", WORD * i + 1, WORD) == F.substring("common", WORD * i + 1, WORD)).cast("int") for i in range(minima)
     )
-    scored = large.join(modes, F.col("component") == F.col("of")).select("id", "component", agree.alias("agree"))
+    scored = large.join(modes, F.col("component") == F.col("of"), "left").select("id", "component", F.coalesce(agree, F.lit(0)).alias("agree"))
     centres = scored.groupBy("component").agg(F.max(F.struct("agree", (-F.col("id")).alias("id"))).alias("best"), F.count("*").alias("n"))
     centres = stored(centres.select(F.col("component").alias("of"), (-F.col("best.id")).alias("centre"), F.ceil(F.col("n") / most).alias("blocks")), "forest-centres")
     dealt = large.join(centres, F.col("component") == F.col("of")).where("id != centre")
@@ -239,7 +241,7 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
     members = small.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     signed = classes.select("id", "signature").dropDuplicates(["id"])
     if n_large:
-        large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "signature"), "forest-large")
+        large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "n", "signature"), "forest-large")
         members = members.unionByName(_blocks_of_large(large, trees, minima, most))
     members = stored(members, "forest-members")
     links = stored(_verified(docs, members, members.count(), words, percent), "forest-links")
