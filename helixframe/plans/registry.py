@@ -458,15 +458,15 @@ def read_partition_mask(spark, sf_dir):
 
 
 @query(f"""
-WITH {SKETCH}, pairs AS (SELECT l_orderkey * 10 + 1 AS first, l_orderkey * 10 + 2 AS second FROM lineitem WHERE l_linenumber = 2),
-both AS (SELECT p.part, a.read_id AS r1, b.read_id AS r2, ((a.mask >> p.part) & 1) = 1 AS h1, ((b.mask >> p.part) & 1) = 1 AS h2
+WITH {SKETCH}, pairs AS (SELECT min(read_id) AS first, max(read_id) AS second FROM reads GROUP BY read_id // {10 * 2**32} HAVING min(read_id) < max(read_id)),
+dealt AS (SELECT p.part, a.read_id AS r1, b.read_id AS r2, ((a.mask >> p.part) & 1) = 1 AS h1, ((b.mask >> p.part) & 1) = 1 AS h2
   FROM pairs JOIN masks a ON a.read_id = first JOIN masks b ON b.read_id = second, range(60) AS p(part)),
-routed AS (SELECT part, r1 AS read_id, h1 AND h2 AS paired FROM both WHERE h1 UNION ALL SELECT part, r2, h1 AND h2 FROM both WHERE h2)
+routed AS (SELECT part, r1 AS read_id, h1 AND h2 AS paired FROM dealt WHERE h1 UNION ALL SELECT part, r2, h1 AND h2 FROM dealt WHERE h2)
 SELECT part::INT AS part, paired, count(*) AS reads, min(read_id) AS least FROM routed GROUP BY 1, 2
 """)
 def read_routing(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
-    pairs = rows.select((F.col("l_orderkey") * 10 + 1).alias("first"), (F.col("l_orderkey") * 10 + 2).alias("second"))
+    by_order = lineitem_reads(spark, sf_dir).groupBy(F.expr(f"read_id div {10 * 2**32}"))
+    pairs = by_order.agg(F.min("read_id").alias("first"), F.max("read_id").alias("second")).where("first < second").select("first", "second")
     out = distribute.routed(_masks(spark, sf_dir), pairs, 60)
     return out.groupBy("part", "paired").agg(F.count("*").alias("reads"), F.min("read_id").alias("least"))
 

@@ -8,14 +8,13 @@ from helixframe.sources import reads as R
 DOCUMENT_READS = "reads AS (SELECT doc_id AS read_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g') AS seq FROM documents)"
 
 LINEITEM_READS = f"""windows AS (
-  SELECT l_orderkey * 10 + l_linenumber AS read_id, (l_orderkey * 7 + l_partkey * 13) % {R.GENOME - R.WIDTH} AS start,
+  SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * {2**32} + l_partkey * {2**12} + l_suppkey AS read_id,
+    (l_orderkey * 7 + l_partkey * 13) % {R.GENOME - R.WIDTH} AS start,
     CASE WHEN l_suppkey % 20 = 0 THEN l_partkey % {R.WIDTH} ELSE -1 END AS wrong FROM lineitem
-), bases AS (
-  SELECT read_id, i, ((({R.A} * (start + i) * (start + i) + {R.B} * (start + i) + {R.C}) % {R.P}) // 7) % 4 AS code, wrong
-  FROM windows, range({R.WIDTH}) AS r(i)
 ), reads AS (
-  SELECT read_id, string_agg(substr('ACGT', (CASE WHEN i = wrong THEN (code + 1) % 4 ELSE code END)::INT + 1, 1), '' ORDER BY i) AS seq
-  FROM bases GROUP BY read_id
+  SELECT read_id, list_aggregate(list_transform(range({R.WIDTH}), lambda i: substr('ACGT', 1 + (
+    (((({R.A} * (start + i) * (start + i) + {R.B} * (start + i) + {R.C}) % {R.P}) // 7) % 4 + CASE WHEN i = wrong THEN 1 ELSE 0 END) % 4)::INT, 1)), 'string_agg', '') AS seq
+  FROM windows
 )"""
 
 

@@ -75,8 +75,9 @@ GENOME, WIDTH, P, A, B, C = 5000, 36, 10007, 131, 977, 37
 
 
 def lineitem_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 36-base window of a synthetic genome for every row of lineitem, every twentieth supplier's with a substitution."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """A 36-base window of a synthetic genome for each different (order, line, part, supplier) of lineitem, every
+    twentieth supplier's with a substitution."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     start = F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * 13, F.lit(GENOME - WIDTH))
     wrong = F.when(F.col("l_suppkey") % 20 == 0, F.pmod(F.col("l_partkey"), F.lit(WIDTH))).otherwise(-1)
 
@@ -86,7 +87,7 @@ def lineitem_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.substring(F.lit(K.BASES), (F.when(i == F.col("wrong"), (code + 1) % 4).otherwise(code) + 1).cast("int"), F.lit(1))
 
     return rows.withColumns({"start": start, "wrong": wrong}).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 2**32 + F.col("l_partkey") * 2**12 + F.col("l_suppkey")).alias("read_id"),
         F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), base), "").alias("seq"),
     )
 
