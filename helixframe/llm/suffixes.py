@@ -134,11 +134,16 @@ def _rows(rows: list[tuple], bucket: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def _ends(first: np.ndarray, n: int) -> np.ndarray:
+    """Where slices of n values end that begin at first."""
+    return np.append(first[1:], n) if len(first) else first
+
+
 def _sliced(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, first, last) of sorted hashes."""
     own = (hashes * np.uint64(buckets) >> np.uint64(HASH_BITS)).astype(np.int64)
     first = np.flatnonzero(np.diff(own, prepend=-1))
-    for a, b in zip(first, np.append(first[1:], len(own)), strict=True):
+    for a, b in zip(first, _ends(first, len(own)), strict=True):
         yield int(own[a]), int(a), int(b)
 
 
@@ -193,7 +198,7 @@ def _shared_anchors(docs: DataFrame, anchors: Anchors, buckets: int) -> DataFram
         order = np.argsort(t, kind="stable")
         h, t = h[order], t[order]
         first = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
-        last = np.append(first[1:], len(t))
+        last = _ends(first, len(t))
         return pd.DataFrame({"doc_id": ids[t[first]], "grams": [h[a:b].tobytes() for a, b in zip(first, last, strict=True)]})
 
     sent = docs.mapInArrow(send, f"bucket int, {ANSWER}")
@@ -397,7 +402,7 @@ def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int)
     def _sliced_in_order(h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
         own = (h * np.uint64(buckets) >> np.uint64(HASH_BITS)).astype(np.int64)
         first = np.flatnonzero(np.diff(own, prepend=-1))
-        return ((int(own[a]), int(a), int(b)) for a, b in zip(first, np.append(first[1:], len(own)), strict=True))
+        return ((int(own[a]), int(a), int(b)) for a, b in zip(first, _ends(first, len(own)), strict=True))
 
     def streams(parts) -> list[Iterator[tuple]]:
         """The runs of a bucket, gathered to MERGED_RUNS at most."""
@@ -476,7 +481,7 @@ def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int)
         joined = np.stack([begin[first] - t[first] * reach, end[last] - t[first] * reach], 1).astype(np.int32) if len(t) else spans
         owner = t[first]
         cut = np.flatnonzero(np.diff(owner, prepend=-1))
-        to = np.append(cut[1:], len(owner))
+        to = _ends(cut, len(owner))
         return pd.DataFrame({"doc_id": ids[owner[cut]], "spans": [joined[a:b].tobytes() for a, b in zip(cut, to, strict=True)]})
 
     sent = docs.mapInArrow(send, f"bucket int, {ANSWER}")
