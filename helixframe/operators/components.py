@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.session import discard, stored
+from helixframe.session import SMALL, discard, stored
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each pass links every node's neighbours to the least of them, the larger ones first, then the smaller ones; all
     edges point at their component's least node in the end. Passes grow with the logarithm of the longest path. Every
-    pass is written to the shared folder, minima too: as tables they let a join split a node of very many edges. Edges
+    pass is written to the shared folder; of many edges the minima are too: as tables they let a join split a hot node. Edges
     with a null end and loops link nothing. Raises if max_rounds passes don't settle it.
     """
     a, b = F.col(src), F.col(dst)
@@ -35,13 +35,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not mark[0]:
             break
+        hot = mark[0] > SMALL  # else no node has more rows than a task can take
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(least, "components") if hot else least
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = _replace(large, least, now)
-        lower = stored(large.groupBy("u").agg(F.min("v").alias("m")), "components")
+        large = _replace(large, least) if hot else large
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = stored(lower, "components") if hot else lower
         joined = large.join(lower, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _replace(joined.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), large, lower)
+        new = joined.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
+        now = _replace(new, now, large, lower) if hot else _replace(new, now)
         before, mark = mark, _fingerprint(now)
         if before == mark:
             break

@@ -43,6 +43,16 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows one task can take all rows of a key.
+SMALL = 1_000_000
+
+
+def stored_if_large(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """df, as a table if it is made from more than SMALL rows: a join with a table that is read can split a key with very
+    many rows, one with an aggregate that stands in the same stage can't."""
+    return stored(df, name) if rows > SMALL else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of stored() that nothing reads any more."""
     jvm = spark.sparkContext._jvm

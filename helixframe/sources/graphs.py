@@ -123,7 +123,7 @@ def write_metis(edges: DataFrame, path: str) -> None:
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """vid, part: the partition on each line of one text file, in order."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
-    return rows.select(F.col("at").cast("long").alias("vid"), F.trim("line").cast("int").alias("part"))
+    return rows.where(F.trim("line") != "").select(F.col("at").cast("long").alias("vid"), F.trim("line").cast("int").alias("part"))
 
 
 def write_super_kmers(pieces: DataFrame, path: str) -> None:
