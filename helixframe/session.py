@@ -39,7 +39,8 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = stored_path(spark, name)
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    writer = df.write.partitionBy(*partition_by).option("compression", "zstd")
+    writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else waits for it
     return spark.read.schema(df.schema).parquet(path)
 
 
