@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from helixframe.llm.common import gathered, of_ids, small_batches
 from helixframe.llm.shingles import MinHash, shingle_set
 from helixframe.operators.components import connected_components
-from helixframe.session import stored
+from helixframe.session import stored, stored_if_large
 
 WORD = 4  # bytes of a minimum
 #: About so many members of a large group tell its commonest minima; which member leads a block does not change results
@@ -102,7 +102,7 @@ def _neighbour_edges(rows: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, members: DataFrame, count: int, words: int, percent: int) -> DataFrame:
-    """src, dst: links that join all members of a block (doc_id, block) that sets of at least `percent` connect."""
+    """src, dst: of the members of a block (doc_id, block) that sets of at least `percent` connect, each with the least."""
 
     def links(ids: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
         sets = [shingle_set(t, words) for t in texts]
@@ -124,7 +124,10 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, words: int, perce
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (a + b - both):
                         parent[root(j)] = root(i)
-                        yield ids[i], ids[j]
+        least: dict[int, int] = {}
+        for i, own in enumerate(ids):
+            least[root(i)] = min(own, least.get(root(i), own))
+        return ((least[root(i)], own) for i, own in enumerate(ids) if least[root(i)] != own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, texts, out = None, [], [], []
@@ -235,17 +238,17 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
     whole = rows.where("print is not null and doc_id is not null")
     classes = stored(whole.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "forest-classes")
     groups = connected_components(_neighbour_edges(classes.select("id", "signature"), trees, depth))
-    sizes = stored(groups.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "of"), "forest-sizes")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "of")
+    sizes = stored_if_large(sizes, groups.count(), "forest-sizes")
     sized = stored(groups.join(sizes, F.col("component") == F.col("of")).select("node", "component", "n"), "forest-groups")
     small, n_large = sized.where(F.col("n") <= most), sized.where(F.col("n") > most).count()
     members = small.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     signed = classes.select("id", "signature").dropDuplicates(["id"])
     if n_large:
         large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "n", "signature"), "forest-large")
-        members = members.unionByName(_blocks_of_large(large, trees, minima, most))
-    members = stored(members, "forest-members")
+        members = stored(members.unionByName(_blocks_of_large(large, trees, minima, most)), "forest-members")
     links = stored(_verified(docs, members, members.count(), words, percent), "forest-links")
-    labels = stored(connected_components(links), "forest-labels")
+    labels = connected_components(links)
     if n_large:
         own = F.coalesce("label", "id")
         labelled = large.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").select("id", own.alias("label"), "signature")
@@ -255,7 +258,7 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
             block = F.xxhash64("src", "dst").alias("block")
             both = deeper.select(F.col("src").alias("doc_id"), block).unionByName(deeper.select(F.col("dst").alias("doc_id"), block))
             more = stored(_verified(docs, both, 2 * n, words, percent), "forest-links")
-            labels = stored(connected_components(links.unionByName(more)), "forest-labels")
+            labels = connected_components(links.unionByName(more))
     joined = classes.select("print", "id").join(labels, F.col("id") == F.col("node"), "left")
     groups_of = stored(joined.select(F.col("print").alias("of"), F.coalesce("component", "id").alias("group")), "forest-result")
     component = F.coalesce("group", "doc_id")

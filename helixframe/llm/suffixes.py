@@ -25,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import of_ids, packed, unpacked
-from helixframe.session import stored
+from helixframe.llm.common import of_ids, packed, small_batches, unpacked
+from helixframe.session import stored, stored_if_large
 
 GRAM = 20
 HASH_BITS = 48
-RUN_BYTES = 16_000_000
+RUN_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000
 CHUNK_BYTES = 200_000
-MERGED_RUNS = 64
+MERGED_RUNS = 256
 SMALL_GROUP = 12
 ANSWER = "run long, kind int, a binary, b binary, c binary"
 
@@ -528,24 +528,31 @@ def repeated_spans(docs: DataFrame, length: int = 50, most: int = 100_000) -> tu
     are shuffled one by one. Null texts are empty; null ids take no part; of rows that share an id and differ in their
     text, the one with the least digest takes part.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated(docs, length, most)
+
+
+def _repeated(docs: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
     anchors = Anchors(length)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = stored(plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")), "suffix-rows")
-    firsts = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumnRenamed("digest", "of"), "suffix-firsts")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumnRenamed("digest", "of")
+    firsts = stored_if_large(firsts, rows.count(), "suffix-firsts")
     judged = stored(
         rows.join(firsts, F.col("digest") == F.col("of")).select("doc_id", "n_bytes", "digest", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")),
         "suffix-judged",
     )
-    out = judged.where("copy or doc_id is null").select("doc_id").distinct()
-    several = judged.where("not copy and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count_distinct("digest").alias("n")).where("n > 1")
-    others = stored(out.join(several, "doc_id", "left_anti").where("doc_id is not null"), "suffix-copies")
-    taken = of_ids(plain.where(F.octet_length("text") >= length).where("doc_id is not null"), others, others.count(), "left_anti")
-    several = stored(several.select(F.col("doc_id").alias("id"), F.col("digest").alias("own")), "suffix-several")
-    if several.limit(1).count():
-        joined = taken.join(several, F.col("doc_id") == F.col("id"), "left")
-        taken = joined.where(F.col("own").isNull() | (F.sha2("text", 256) == F.col("own"))).dropDuplicates(["doc_id"]).select("doc_id", "text")
-    total = judged.where("not copy").agg(F.sum("n_bytes")).first()[0] or 0
+    own = judged.where("not copy and doc_id is not null")
+    total, n, ids = own.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*"), F.count_distinct("doc_id")).first()
+    taken = plain.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
+    if n == ids:
+        copies = stored(judged.where("copy").select("doc_id").distinct().join(own.select("doc_id"), "doc_id", "left_anti"), "suffix-copies")
+        taken = of_ids(taken, copies, copies.count(), "left_anti")
+    else:  # ids with several texts: one of them takes part
+        chosen = stored(own.groupBy("doc_id").agg(F.min("digest").alias("own")).withColumnRenamed("doc_id", "id"), "suffix-chosen")
+        joined = taken.withColumn("digest", F.sha2("text", 256)).join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own")))
+        taken = joined.dropDuplicates(["doc_id"]).select("doc_id", "text")
     buckets = max(1, -(-total // BUCKET_BYTES))
     grams = stored(_shared_anchors(taken, anchors, buckets), "suffix-grams")
     merged = grams.groupBy("doc_id").agg(F.first("grams").alias("grams"))
