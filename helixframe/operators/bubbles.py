@@ -65,5 +65,5 @@ def pop_bubbles(graph: Graph, max_passes: int = 100) -> Graph:
         first = F.concat(F.array(F.get("occs", F.lit(0)) + F.coalesce("gain", F.lit(0))), F.slice("occs", F.lit(2), F.size("occs")))
         nodes = graph.nodes.join(ids.withColumnRenamed("pop", "id"), "id", "left_anti").join(gains, "id", "left").withColumn("occs", first).drop("gain")
         arcs = graph.arcs.join(ids.withColumnRenamed("pop", "src"), "src", "left_anti").join(ids.withColumnRenamed("pop", "dst"), "dst", "left_anti")
-        graph = compact(replace(graph, nodes=nodes, arcs=arcs))
+        graph = compact(replace(graph, nodes=nodes, arcs=arcs, tables=False))
     raise RuntimeError(f"popping did not settle in {max_passes} passes")

@@ -90,7 +90,7 @@ def clip_once(graph: Graph) -> tuple[Graph, int]:
         .join(marks, ["src", "side"], "left")
         .select("src", "side", "base", "weight", (F.col("mark") | (F.col("now").isNotNull() & (F.col("weight") == 1))).alias("mark"), "dst", "dst_side")
     )
-    return replace(graph, nodes=stored(nodes, "clipped"), arcs=stored(arcs, "clipped-arcs")), changed
+    return replace(graph, nodes=stored(nodes, "clipped"), arcs=stored(arcs, "clipped-arcs"), tables=True), changed
 
 
 def clip(graph: Graph, keep_cycles: bool = False, max_passes: int = 200) -> Graph:

@@ -39,23 +39,28 @@ def _ends(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
         F.col("to").isNull().alias("done"), F.least("port", F.coalesce("to", "port")).alias("low"),
     )
     # a list ends with a state that is its own end and counts no step
-    states = stored(states, "chains")
-    count, rounds, todo = states.count(), 0, 1
-    while todo and 2**rounds <= 2 * count:
+
+    def doubled(states: DataFrame) -> DataFrame:
         ahead = states.select(F.col("port").alias("to"), F.col("to").alias("far"), F.col("dist").alias("more"), F.col("done").alias("ended"), F.col("low").alias("lower"))
         moved = states.where(~F.col("done")).join(ahead, "to").select(
             "port", "id", "side", F.col("far").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("ended").alias("done"), F.least("low", "lower").alias("low")
         )
-        states = stored(states.where("done").unionByName(moved), "chains")
-        todo, rounds = states.where(~F.col("done")).limit(1).count(), rounds + 1
+        return states.where("done").unionByName(moved)
+
+    states = stored(states, "chains")
+    count, rounds = states.count(), 0
+    todo = states.where(~F.col("done")).limit(1).count()
+    while todo and 2**rounds <= 2 * count:
+        states = stored(doubled(doubled(states)), "chains")
+        todo, rounds = states.where(~F.col("done")).limit(1).count(), rounds + 2
     return states, bool(todo)
 
 
 def compact(graph: Graph, keep_cycles: bool = False) -> Graph:
     """The graph with every chain as one node. A chain that closes to a cycle is dropped, or, with keep_cycles, cut at
     its least node. A node's id is the least of its chain's; its orientation does not depend on how rows are dealt."""
-    links = stored(mergeable(graph.arcs), "links")
-    nodes = stored(graph.nodes, "nodes")
+    nodes, all_arcs = (graph.nodes, graph.arcs) if graph.tables else (stored(graph.nodes, "nodes"), stored(graph.arcs, "arcs"))
+    links = stored(mergeable(all_arcs), "links")
     states, cyclic = _ends(nodes, links)
     if cyclic and keep_cycles:
         cut = states.where(~F.col("done")).where(F.col("low") == F.col("port")).select("id").distinct()
@@ -115,7 +120,7 @@ def compact(graph: Graph, keep_cycles: bool = False) -> Graph:
     border = built.select(F.col("chain").alias("old"), F.col("id").alias("new"), F.lit("L").alias("new_side")).unionByName(
         built.select(F.col("last").alias("old"), F.col("id").alias("new"), F.lit("R").alias("new_side"))
     )
-    outer = graph.arcs.join(links.select("src", "side"), ["src", "side"], "left_anti")
+    outer = all_arcs.join(links.select("src", "side"), ["src", "side"], "left_anti")
     at_src = border.select(F.col("old").alias("p"), F.col("new").alias("n_src"), F.col("new_side").alias("n_side"))
     at_dst = border.select(F.col("old").alias("q"), F.col("new").alias("n_dst"), F.col("new_side").alias("n_dst_side"))
     arcs = (
@@ -133,7 +138,7 @@ def compact(graph: Graph, keep_cycles: bool = False) -> Graph:
             F.col("n_dst_side").alias("dst_side"),
         )
     )
-    return Graph(graph.k, built.drop("chain", "last"), stored(arcs, "unitig-arcs"))
+    return Graph(graph.k, built.drop("chain", "last"), stored(arcs, "unitig-arcs"), tables=True)
 
 
 def unitigs(graph: Graph) -> DataFrame:

@@ -23,7 +23,7 @@ def cut_coverage(graph: Graph, least: float = 0.0, most: float = 0.0) -> Graph:
     gone = (coverage < least if least else F.lit(False)) | (coverage > most if most else F.lit(False))
     ids = stored(graph.nodes.where(gone).select("id"), "cut")
     arcs = graph.arcs.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return replace(graph, nodes=graph.nodes.where(~gone), arcs=arcs)
+    return replace(graph, nodes=graph.nodes.where(~gone), arcs=arcs, tables=False)
 
 
 def min_contig_length(unitigs, k: int, least: int):

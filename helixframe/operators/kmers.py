@@ -91,11 +91,13 @@ class Graph:
 
     A node is a chain of k-mers: occs has the occurrences of each, weights the weight of each arc between neighbours,
     marks_f and marks_b whether that arc is marked on the left or on the right one's side. All arrays follow seq.
+    tables: both are stored already and cost nothing to read again.
     """
 
     k: int
     nodes: DataFrame
     arcs: DataFrame
+    tables: bool = False
 
 
 def de_bruijn(reads: DataFrame, k: int, max_weight: int | None = K.MAX_WEIGHT) -> Graph:
