@@ -448,7 +448,8 @@ masks AS (SELECT read_id, bit_or(mask) AS mask FROM own JOIN sketch USING (bucke
 
 def _masks(spark, sf_dir):
     reads = lineitem_reads(spark, sf_dir)
-    parts = partition.coloured(reads, KG, M, RANGES).select(F.col("canon").alias("kmer"), ((F.col("color") - 1) % 60).cast("int").alias("part")).distinct()
+    colour = RANGES(K.mini_kmer(F.col("kmer"), KG, M))  # of a k-mer, on either strand
+    parts = kmer_counts(reads, KG).select("kmer", ((colour - 1) % 60).cast("int").alias("part"))
     return distribute.read_masks(reads, KG, distribute.sketch(parts, 16), 16)
 
 
