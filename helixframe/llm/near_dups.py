@@ -7,19 +7,20 @@ orders are dealt out by range, on the whole key and the id, so a region may lie
 
 Candidate groups, the connected regions of all trees, are mostly small: their members are compared on their full sets,
 all that are not linked yet. A large group is compared, in bounded blocks, with the member that is nearest to the
-group's commonest minima; those whose blocks stay apart are ordered again by all of their minima, and regions go as deep
-as it takes to hold a bounded number of members, among which the most similar of different blocks are compared.
+group's commonest minima. Those whose blocks stay apart are compared once more in each whole region, dealt out part
+against part: the most similar of different blocks in every pair of parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +33,8 @@ WORD = 4  # bytes of a minimum
 #: About so many members of a large group tell its commonest minima; which member leads a block does not change results
 #: that are confirmed, only how many comparisons it takes.
 SAMPLE = 512
+#: About so many members of a region on either side are compared at a time.
+SIDE = 256
 
 
 def shingled(docs: DataFrame, words: int, minima: int) -> DataFrame:
@@ -53,15 +56,11 @@ def shingled(docs: DataFrame, words: int, minima: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, print binary, signature binary")
 
 
-def _ordered(rows: DataFrame, trees: int, depth: int, whole: bool, *more: str) -> DataFrame:
-    """tree, key, id and more: every tree's order, by its first `depth` minima or by all, dealt out by range."""
+def _ordered(rows: DataFrame, trees: int, depth: int) -> DataFrame:
+    """tree, key and id: every tree's order, by its first `depth` minima, dealt out by range."""
     width = depth * WORD
-
-    def key(t: int) -> Column:
-        first = F.substring("signature", t * width + 1, width if not whole else 2**30)
-        return F.concat(first, F.substring("signature", 1, t * width)) if whole and t else first
-
-    exploded = rows.select("id", *more, F.posexplode(F.array(*[key(t) for t in range(trees)])).alias("tree", "key"))
+    keys = F.array(*[F.substring("signature", t * width + 1, width) for t in range(trees)])
+    exploded = rows.select("id", F.posexplode(keys).alias("tree", "key"))
     return exploded.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
 
@@ -95,7 +94,7 @@ def _neighbour_edges(rows: DataFrame, trees: int, depth: int) -> DataFrame:
         columns += [pa.array(tree, pa.int32()) if tree else pa.nulls(n, pa.int32()), pa.array(key, pa.binary()) if key else pa.nulls(n, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "tree", "key"])
 
-    found = stored(_ordered(rows, trees, depth, False).mapInArrow(run, "src long, dst long, tree int, key binary"), "forest-edges")
+    found = stored(_ordered(rows, trees, depth).mapInArrow(run, "src long, dst long, tree int, key binary"), "forest-edges")
     borders = found.where("key is not null")  # two rows a task; they join regions that lie in several
     joined = borders.withColumn("least", F.min("src").over(Window.partitionBy("tree", "key"))).where("src != least")
     return found.where("key is null").select("src", "dst").unionByName(joined.select("src", F.col("least").alias("dst"))).distinct()
@@ -175,46 +174,61 @@ def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> Da
     return own.unionByName(each.select(F.col("centre").alias("doc_id"), F.xxhash64("of", "part").alias("block")))
 
 
-def _deep_candidates(rows: DataFrame, trees: int, depth: int, most: int, least_share: float) -> DataFrame:
-    """src, dst: in regions as deep as it takes to have at most `most` members (id, label, signature), every member with
-    the one of each other label that its signature agrees with best, if in least_share of the minima."""
+def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_share: float) -> DataFrame:
+    """block, src, dst: in all regions of that depth every member (id, label, size, signature) with the one of each other
+    label, of those it meets in a block, that its signature agrees best with, if in least_share of the minima.
 
-    def regions(common: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
-        todo = [(low, high)]
-        while todo:
-            low, high = todo.pop()
-            if high - low <= most:
-                yield low, high
-                continue
-            inner = common[low + 1 : high]
-            cut = low + 1 + int(inner.argmin())
-            if inner.min() == inner.max():  # all share the same prefix, so none is deeper
-                for at in range(low, high, most):
-                    yield max(low, at - 1), min(high, at + most)
-            else:
-                todo += [(low, cut), (cut, high)]
-
-    def pairs(ids: np.ndarray, labels: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int]]:
-        if (labels == labels[0]).all():
-            return
-        share = (keys[:, None, :] == keys[None, :, :]).mean(2)
-        share[labels[:, None] == labels[None, :]] = -1
-        for i in range(len(ids)):
-            for label in np.unique(labels[share[i] >= least_share]):
-                j = int(np.where(labels == label, share[i], -2).argmax())
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+    A region is dealt out whole, wherever its members lie: in parts of about SIDE members, every part against every
+    other and itself, except that the parts of the label with most members don't meet each other."""
+    width = depth * WORD
+    keys = F.array(*[F.substring("signature", t * width + 1, width) for t in range(trees)])
+    exploded = rows.select("id", "label", "size", "signature", F.posexplode(keys).alias("tree", "key"))
+    counts = exploded.groupBy("tree", "key", "label").agg(F.count("*").alias("c"))
+    regions = counts.groupBy("tree", "key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    parts = [F.col("most.label").alias("top"), F.ceil(F.col("most.c") / SIDE).alias("tops"), F.ceil((F.col("n") - F.col("most.c")) / SIDE).alias("others")]
+    regions = stored(regions.select(F.col("tree").alias("of_tree"), F.col("key").alias("of_key"), *parts), "forest-regions")
+    of_top, hashed = F.col("label") == F.col("top"), F.xxhash64("id")
+    last = F.col("tops") + F.col("others") - 1
+    part = F.when(of_top, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("others")))
+    against = F.explode(F.sequence(F.when(of_top, F.col("tops")).otherwise(F.lit(0).cast("long")), last))
+    met = exploded.join(regions, (F.col("tree") == F.col("of_tree")) & (F.col("key") == F.col("of_key"))).withColumn("part", part).withColumn("against", against)
+    block = F.xxhash64("tree", "key", F.least("part", "against"), F.greatest("part", "against")).alias("block")
+    dealt = met.select(block, "tree", "part", (F.col("part") == F.col("against")).alias("within"), "id", "label", "size", "signature")
+
+    def pairs(block: int, tree: np.ndarray, part: np.ndarray, within: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, signatures: np.ndarray) -> pa.RecordBatch:
+        x = np.arange(len(ids)) if within[0] else np.flatnonzero(part == part[0])
+        y = x if within[0] else np.flatnonzero(part != part[0])
+        share = (signatures[x][:, None, :] == signatures[y][None, :, :]).mean(2)
+        a, b = sizes[x][:, None], sizes[y][None, :]
+        fine = (share >= least_share) & (labels[x][:, None] != labels[y][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        i, j = np.nonzero(np.triu(fine) if within[0] else fine)
+        share, i, j = share[i, j], x[i], y[j]
+        own = (signatures[i] == signatures[j]).reshape(-1, trees, depth).all(2).argmax(1) == tree[0]  # in its first tree only
+        i, j, share = i[own], j[own], share[own]
+        order = np.argsort(-share, kind="stable")
+        i, j = i[order], j[order]
+        best = [np.unique(np.stack([u, labels[v]]), axis=1, return_index=True)[1] for u, v in ((i, j), (j, i))]
+        at = np.unique(np.concatenate(best))
+        i, j = ids[i[at]], ids[j[at]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["block", "src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches):
-            ids, labels, tree = (b.column(c).to_numpy() for c in ("id", "label", "tree"))
-            keys = np.stack([np.frombuffer(x, ">u4") for x in b.column("key").to_pylist()]).astype(np.uint32)
-            same = keys[1:] == keys[:-1]
-            common = np.concatenate([[0], np.where(same.all(1), same.shape[1], same.argmin(1)) * (tree[1:] == tree[:-1])])
-            cuts = [*np.flatnonzero(common < depth), len(ids)]
-            out = {p for low, high in zip(cuts, cuts[1:], strict=False) if high - low > 1 for x, y in regions(common, low, high) for p in pairs(ids[x:y], labels[x:y], keys[x:y])}
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+        rest: list[pa.Table] = []
+        for b in chain(gathered(batches), [None]):
+            whole = pa.concat_tables(rest + ([b] if b is not None else [])) if rest or b is not None else None
+            if whole is None:
+                continue
+            blocks = whole.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
+            rest = [] if b is None else [whole.slice(cuts[-2])]  # the last block may go on
+            if b is not None:
+                cuts.pop()
+            columns = [whole.column(c).to_numpy() for c in ("tree", "part", "within", "id", "label", "size")]
+            signatures = np.frombuffer(b"".join(whole.column("signature").to_pylist()), ">u4").astype(np.uint32).reshape(len(blocks), -1)
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                yield pairs(blocks[low], *(c[low:high] for c in columns), signatures[low:high])
 
-    return _ordered(rows, trees, depth, True, "label").mapInArrow(run, "src long, dst long").distinct()
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: int = 16, depth: int = 4, most: int = 64) -> DataFrame:
@@ -236,23 +250,24 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
     minima = trees * depth
     rows = stored(shingled(docs, words, minima), "forest-signatures")
     whole = rows.where("print is not null and doc_id is not null")
-    classes = stored(whole.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "forest-classes")
+    classes = stored(whole.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")), "forest-classes")
     groups = connected_components(_neighbour_edges(classes.select("id", "signature"), trees, depth))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "of")
     sizes = stored_if_large(sizes, groups.count(), "forest-sizes")
     sized = stored(groups.join(sizes, F.col("component") == F.col("of")).select("node", "component", "n"), "forest-groups")
     small, n_large = sized.where(F.col("n") <= most), sized.where(F.col("n") > most).count()
     members = small.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    signed = classes.select("id", "signature").dropDuplicates(["id"])
+    signed = classes.select("id", "signature", "size").dropDuplicates(["id"])
     if n_large:
-        large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "n", "signature"), "forest-large")
+        large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "n", "signature", "size"), "forest-large")
         members = stored(members.unionByName(_blocks_of_large(large, trees, minima, most)), "forest-members")
     links = stored(_verified(docs, members, members.count(), words, percent), "forest-links")
     labels = connected_components(links)
     if n_large:
         own = F.coalesce("label", "id")
-        labelled = large.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").select("id", own.alias("label"), "signature")
-        deeper = stored(_deep_candidates(labelled, trees, depth, most, percent / 100 - 0.2), "forest-deep")
+        labelled = large.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").select("id", own.alias("label"), "size", "signature")
+        labelled = stored(labelled, "forest-labels")
+        deeper = stored(_region_pairs(labelled, trees, depth, percent, percent / 100 - 0.2).select("src", "dst").distinct(), "forest-pairs")
         n = deeper.count()
         if n:
             block = F.xxhash64("src", "dst").alias("block")

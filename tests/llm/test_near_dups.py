@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,3 +83,28 @@ def test_shingles():
 
 def test_repeated_rows_stay_rows(docs):
     assert near_duplicates(docs.where("doc_id = 3")).agg(F.count("*")).first()[0] == 3
+
+
+def family(n, planted):
+    """(doc_id, text): n texts that share 0.75 to 0.80 of their shingles with each other, and copies of the first
+    `planted` of them that share a little more than 0.80 with their own."""
+    rng = random.Random(11)
+    hub = [f"w{i}" for i in range(270)]
+
+    def changed(words, count, mark):
+        w = list(words)
+        for at in rng.sample(range(0, 270, 5), count):
+            w[at] = f"{mark}-{at}"
+        return w
+
+    texts = [changed(hub, 4, f"a{i}") for i in range(n)]
+    texts += [changed(texts[i], 5, f"b{i}") for i in range(planted)]
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+def test_regions_of_a_large_group_stay_whole(spark):
+    corpus = family(600, 150)
+    want = {i: c for i, (_, c) in brute_force(corpus, 80).items()}
+    assert sum(i != c for i, c in want.items()) >= 150
+    found = near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string").repartition(4), 80)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
