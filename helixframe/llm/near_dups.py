@@ -8,13 +8,13 @@ orders are dealt out by range, on the whole key and the id, so a region may lie
 Candidate groups, the connected regions of all trees, are mostly small: their members are compared on their full sets,
 all that are not linked yet. A large group is compared, in bounded blocks, with the member that is nearest to the
 group's commonest minima. Those whose blocks stay apart are compared once more in each whole region, dealt out part
-against part: the most similar of different blocks in every pair of parts.
+against part, on their full sets wherever sizes and signatures allow a link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -175,8 +175,9 @@ def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> Da
 
 
 def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_share: float) -> DataFrame:
-    """block, src, dst: in all regions of that depth every member (id, label, size, signature) with the one of each other
-    label, of those it meets in a block, that its signature agrees best with, if in least_share of the minima.
+    """block, at, src, dst, a, b: in all regions of that depth every pair of members (id, label, size, signature) of other
+    labels, a and b, whose signatures agree in least_share of the minima; once, in its first tree. `at` numbers the pairs
+    of a block from those that agree most.
 
     A region is dealt out whole, wherever its members lie: in parts of about SIDE members, every part against every
     other and itself, except that the parts of the label with most members don't meet each other."""
@@ -207,10 +208,8 @@ def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_s
         i, j, share = i[own], j[own], share[own]
         order = np.argsort(-share, kind="stable")
         i, j = i[order], j[order]
-        best = [np.unique(np.stack([u, labels[v]]), axis=1, return_index=True)[1] for u, v in ((i, j), (j, i))]
-        at = np.unique(np.concatenate(best))
-        i, j = ids[i[at]], ids[j[at]]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["block", "src", "dst"])
+        columns = [np.full(len(i), block), np.arange(len(i)), ids[i], ids[j], labels[i], labels[j]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "at", "src", "dst", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
@@ -228,7 +227,46 @@ def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_s
             for low, high in zip(cuts, cuts[1:], strict=False):
                 yield pairs(blocks[low], *(c[low:high] for c in columns), signatures[low:high])
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, src long, dst long")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, at long, src long, dst long, a long, b long")
+
+
+def _verified_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """src, dst: the pairs of _region_pairs that sets of at least `percent` link, but for those of labels that earlier pairs
+    of the block link already."""
+    ends = pairs.select("block", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    ends = stored(ends, "forest-ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    none = F.lit(None).cast("long")
+    members = of_ids(texts, ends, ends.count()).select("block", none.alias("at"), F.col("doc_id").alias("src"), *(none.alias(c) for c in ("dst", "a", "b")), "text")
+    asked = pairs.withColumn("text", F.lit(None).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets, parent = None, {}, {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for own, at, src, dst, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != block:
+                    block, sets, parent = own, {}, {}
+                if at is None:  # members come first
+                    sets.setdefault(src, []).append(shingle_set(text, words))  # rows may share an id
+                elif root(a) != root(b):
+                    for x, y in product(sets[src], sets[dst]):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            parent[root(b)] = root(a)
+                            out.append((src, dst))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+    dealt = members.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("at").asc_nulls_first())
+    return dealt.mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: int = 16, depth: int = 4, most: int = 64) -> DataFrame:
@@ -267,13 +305,9 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
         own = F.coalesce("label", "id")
         labelled = large.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").select("id", own.alias("label"), "size", "signature")
         labelled = stored(labelled, "forest-labels")
-        deeper = stored(_region_pairs(labelled, trees, depth, percent, percent / 100 - 0.2).select("src", "dst").distinct(), "forest-pairs")
-        n = deeper.count()
-        if n:
-            block = F.xxhash64("src", "dst").alias("block")
-            both = deeper.select(F.col("src").alias("doc_id"), block).unionByName(deeper.select(F.col("dst").alias("doc_id"), block))
-            more = stored(_verified(docs, both, 2 * n, words, percent), "forest-links")
-            labels = connected_components(links.unionByName(more))
+        pairs = stored(_region_pairs(labelled, trees, depth, percent, percent / 100 - 0.2), "forest-pairs")
+        more = stored(_verified_pairs(docs, pairs, words, percent), "forest-links")
+        labels = connected_components(links.unionByName(more))
     joined = classes.select("print", "id").join(labels, F.col("id") == F.col("node"), "left")
     groups_of = stored(joined.select(F.col("print").alias("of"), F.coalesce("component", "id").alias("group")), "forest-result")
     component = F.coalesce("group", "doc_id")

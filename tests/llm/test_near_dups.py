@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import near_dups
 from helixframe.llm.near_dups import near_duplicates, without_near_duplicates
-from helixframe.llm.shingles import shingle_set
+from helixframe.llm.shingles import MinHash, shingle_set
 
 
 def brute_force(corpus, percent):
@@ -108,3 +108,24 @@ def test_regions_of_a_large_group_stay_whole(spark):
     assert sum(i != c for i, c in want.items()) >= 150
     found = near_duplicates(spark.createDataFrame(corpus, "doc_id long, text string").repartition(4), 80)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+
+
+def test_every_partner_of_a_label_is_tried(spark):
+    """Signatures that agree most need not be of the pair that reaches the threshold."""
+    minima = MinHash(64)
+    text = {i: t for i, t in family(40, 0)}
+    sets = {i: shingle_set(t) for i, t in text.items()}
+    rows = [(i, min(i, 1), len(s), bytearray(minima(s).tobytes())) for i, s in sets.items()]
+    labelled = spark.createDataFrame(rows, "id long, label long, size long, signature binary")
+    found = {(r["src"], r["dst"]) for r in near_dups._region_pairs(labelled, 16, 4, 70, 0.5).collect()}
+    names = {i: np.frombuffer(r[3], ">u4") for i, r in enumerate(rows)}
+    want = {i for i in names if i and (names[0] == names[i]).mean() >= 0.5 and (names[0] == names[i]).reshape(16, 4).all(1).any()}
+    assert len(want) > 20 and {max(p) for p in found} == want
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    pairs = near_dups._region_pairs(labelled, 16, 4, 70, 0.5)
+    first = [r["dst"] if r["src"] == 0 else r["src"] for r in pairs.orderBy("block", "at").collect()]
+    assert len(first) == len(set(first))  # each pair in one tree only
+    share = {i: len(np.intersect1d(sets[0], sets[i])) / len(np.union1d(sets[0], sets[i])) for i in first}
+    percent = int(100 * max(share.values()))
+    linked = near_dups._verified_pairs(docs, pairs, 5, percent).collect()
+    assert linked and all(100 * share[max(r)] >= percent for r in linked)
