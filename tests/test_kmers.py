@@ -226,3 +226,12 @@ def test_partitioners(spark):
 def test_numbered(spark):
     rows = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")), "x").collect()
     assert all(r["x"] == r["number"] for r in rows) and len(rows) == 1000
+
+
+def test_every_read_is_routed(spark):
+    ids = [(0,), (1,), (2,), (10,), (20,), (21,), (22,), (23,)]
+    pairs = distribute.neighbours(spark.createDataFrame(ids, "read_id long"), F.expr("read_id div 10"))
+    assert {tuple(r) for r in pairs.collect()} == {(0, 1), (2, None), (10, None), (20, 21), (22, 23)}
+    masks = spark.createDataFrame([(i, 3 if i == 1 else 1) for (i,) in ids], "read_id long, mask long")
+    got = {(r["part"], r["read_id"], r["paired"]) for r in distribute.routed(masks, pairs, 2).collect()}
+    assert got == {(0, i, i not in (2, 10)) for (i,) in ids} | {(1, 1, False)}
