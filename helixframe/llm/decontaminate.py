@@ -11,6 +11,7 @@ The index holds test items, not documents. Items are dealt to indexes of bounded
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,15 +49,31 @@ def ngrams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+class Frequencies:
+    """The number of items that have any word, of all their words, and of the items that have each word."""
+
+    def __init__(self):
+        self.items, self.words, self.having = 0, 0, Counter()
+
+    def add(self, items: list[list[str]]) -> Frequencies:
+        for ws in items:
+            self.items += bool(ws)
+            self.words += len(ws)
+            self.having.update(set(ws))
+        return self
+
+
 class BlockMaxIndex:
-    """Postings with impacts, each impact a share of the most that its item can score."""
+    """Postings with impacts, each impact a share of the most that its item can score. Frequencies are the items' own,
+    unless those of the whole benchmark are given."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 8, k1: float = 1.2, b: float = 0.75, n: int = 3):
+    def __init__(self, items: list[tuple[int, str]], block: int = 8, k1: float = 1.2, b: float = 0.75, n: int = 3, whole: Frequencies | None = None):
         self.items = [(i, text) for i, text in items if words_of(text)]
         self.block, self.n = block, n
         words = [words_of(t) for _, t in self.items]
         self.lengths = [len(w) for w in words]
-        mean = max(1.0, float(np.mean(self.lengths))) if words else 1.0
+        whole = whole or Frequencies().add(words)
+        mean = max(1.0, whole.words / whole.items) if whole.items else 1.0
         self.ids: dict[str, int] = {}
         for w in (w for ws in words for w in ws):
             self.ids.setdefault(w, len(self.ids))
@@ -68,8 +85,8 @@ class BlockMaxIndex:
                 own[at] = own.get(at, 0) + 1
         impact: list[dict[int, float]] = []
         total = np.zeros(len(words))
-        for own in tf:
-            idf = np.log(1 + (len(words) - len(own) + 0.5) / (len(own) + 0.5))
+        for word, own in zip(self.ids, tf, strict=True):
+            idf = np.log(1 + (whole.items - whole.having[word] + 0.5) / (whole.having[word] + 0.5))
             impact.append({at: idf * c * (k1 + 1) / (c + k1 * (1 - b + b * self.lengths[at] / mean)) for at, c in own.items()})
             for at, x in impact[-1].items():
                 total[at] += x
@@ -216,13 +233,21 @@ class Asker:
 
 
 def _indexes(benchmark: DataFrame, max_index_bytes: int) -> Iterator[BlockMaxIndex]:
-    """The items, dealt by a hash to indexes of about max_index_bytes of text."""
+    """The items, dealt by a hash to indexes of about max_index_bytes of text; all score by the whole benchmark's frequencies."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // max_index_bytes))
+
+    def items(chunk: int) -> list[tuple[int, str]]:
+        return sorted((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect())
+
+    whole = None
+    if chunks > 1:
+        whole = Frequencies()
+        for chunk in range(chunks):
+            whole.add([words_of(text) for _, text in items(chunk)])
     for chunk in range(chunks):
-        items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk).collect()
-        yield BlockMaxIndex(sorted((r["item_id"], r["text"]) for r in items))
+        yield BlockMaxIndex(items(chunk), whole=whole)
 
 
 def find_leaks(

@@ -154,6 +154,15 @@ def test_leaks(spark, bench, words):
     assert find_leaks(frame, table.where("1 = 0")).count() == 0 and find_leaks(frame.where("1 = 0"), table).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, bench):
+    items, table = bench
+    frame = spark.createDataFrame(items[:31], "doc_id long, text string")
+    one, many = (
+        {(r["doc_id"], r["item_id"]): r["score"] for r in find_leaks(frame, table, max_index_bytes=size).collect()} for size in (8_000_000, 800)
+    )
+    assert one and many == pytest.approx(one, abs=1e-6)
+
+
 def test_wand_finds_what_full_scores_find(bench, words):
     index = BlockMaxIndex([x for x in bench[0] if x[0] is not None and x[1]], block=4)
     rng = random.Random(13)
