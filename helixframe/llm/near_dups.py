@@ -6,9 +6,12 @@ whose longest common prefix has `depth` minima or more form a region, and the me
 orders are dealt out by range, on the whole key and the id, so a region may lie in several tasks.
 
 Candidate groups, the connected regions of all trees, are mostly small: their members are compared on their full sets,
-all that are not linked yet. A large group is compared, in bounded blocks, with the member that is nearest to the
-group's commonest minima. Those whose blocks stay apart are compared once more in each whole region, dealt out part
-against part, on their full sets wherever sizes and signatures allow a link.
+all that are not linked yet. A large group is ordered by its signatures; the regions of that order are as deep as it
+takes for them to hold a bounded number of members, and each is compared with itself and with the member that is nearest
+to the group's commonest minima. That joins nearly all there is to join. What the labels so far keep apart is then joined
+exactly, whatever the size of the group: two sets that reach the threshold share one of their rarest shingles, so members
+of different labels meet in the buckets of these alone, and only where their places in the order still allow a link are
+they compared on their full sets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixframe.llm.common import gathered, of_ids, small_batches
+from helixframe.llm.common import gathered, of_ids, packed, small_batches, unpacked
 from helixframe.llm.shingles import MinHash, shingle_set
 from helixframe.operators.components import connected_components
 from helixframe.session import stored, stored_if_large
@@ -33,8 +36,10 @@ WORD = 4  # bytes of a minimum
 #: About so many members of a large group tell its commonest minima; which member leads a block does not change results
 #: that are confirmed, only how many comparisons it takes.
 SAMPLE = 512
-#: About so many members of a region on either side are compared at a time.
+#: About so many members of a shingle's bucket on either side are compared at a time.
 SIDE = 256
+#: How many values of a shingle's hash are counted apart, and in how many parts.
+CELLS, SLICES = 2**20, 16
 
 
 def shingled(docs: DataFrame, words: int, minima: int) -> DataFrame:
@@ -147,9 +152,53 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, words: int, perce
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> DataFrame:
-    """doc_id, block: members (id, component, n, signature) of large groups in blocks of about `most`, each with the
-    member nearest to the group's commonest minima, as a bounded sample of the group has them."""
+def _adaptive_blocks(large: DataFrame, most: int) -> DataFrame:
+    """id, component, block: the members (id, component, signature) of each large group in the order of their signatures,
+    cut where neighbours have the shortest common prefix until `most` of them or fewer are left together."""
+
+    def cut(shared: np.ndarray, low: int, high: int) -> Iterator[int]:
+        """First places of the blocks of members low to high; shared[i] is the prefix of i with the one before."""
+        todo = [(low, high)]
+        while todo:
+            a, b = todo.pop()
+            if b - a <= most:
+                yield a
+                continue
+            inner = shared[a + 1 : b]
+            at = a + 1 + np.flatnonzero(inner == inner.min())
+            if len(at) == len(inner):  # nothing tells them apart
+                at = np.arange(a + most, b, most)
+            todo += zip([a, *at.tolist()], [*at.tolist(), b], strict=True)
+
+    def filled(firsts: list[int], high: int) -> Iterator[int]:
+        """Of neighbouring blocks that fit together one."""
+        start = firsts[0]
+        for first, end in zip(firsts, [*firsts[1:], high], strict=True):
+            if end - start > most:
+                yield start
+                start = first
+        yield start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            ids, own = (b.column(c).to_numpy() for c in ("id", "component"))
+            signature = np.frombuffer(b"".join(b.column("signature").to_pylist()), ">u4").reshape(len(ids), -1)
+            differ = signature[1:] != signature[:-1]
+            shared = np.where(differ.any(1), differ.argmax(1), signature.shape[1])
+            shared = np.concatenate([[-1], np.where(own[1:] == own[:-1], shared, -1)])
+            borders = [*np.flatnonzero(shared < 0).tolist(), len(ids)]
+            firsts = np.array([f for low, high in zip(borders, borders[1:], strict=False) for f in filled(sorted(cut(shared, low, high)), high)])
+            block = ids[firsts][np.searchsorted(firsts, np.arange(len(ids)), side="right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, own, block)], names=["id", "component", "block"])
+
+    rows = large.select("id", "component", "signature")
+    dealt = rows.repartitionByRange("component", "signature", "id").sortWithinPartitions("component", "signature", "id")
+    return dealt.mapInArrow(run, "id long, component long, block long")
+
+
+def _blocks_of_large(large: DataFrame, minima: int, most: int) -> DataFrame:
+    """doc_id, block: members (id, component, n, signature) of large groups in adaptive blocks of at most `most`, each with
+    the member nearest to the group's commonest minima, as a bounded sample of the group has them."""
     sample = large.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SAMPLE)) == 0).select("component", "signature")
 
     def commonest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -165,51 +214,99 @@ def _blocks_of_large(large: DataFrame, trees: int, minima: int, most: int) -> Da
         (F.substring("signature", WORD * i + 1, WORD) == F.substring("common", WORD * i + 1, WORD)).cast("int") for i in range(minima)
     )
     scored = large.join(modes, F.col("component") == F.col("of"), "left").select("id", "component", F.coalesce(agree, F.lit(0)).alias("agree"))
-    centres = scored.groupBy("component").agg(F.max(F.struct("agree", (-F.col("id")).alias("id"))).alias("best"), F.count("*").alias("n"))
-    centres = stored(centres.select(F.col("component").alias("of"), (-F.col("best.id")).alias("centre"), F.ceil(F.col("n") / most).alias("blocks")), "forest-centres")
-    dealt = large.join(centres, F.col("component") == F.col("of")).where("id != centre")
-    part = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    own = dealt.select(F.col("id").alias("doc_id"), F.xxhash64("component", part).alias("block"))
-    each = centres.select("of", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    return own.unionByName(each.select(F.col("centre").alias("doc_id"), F.xxhash64("of", "part").alias("block")))
-
-
-def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_share: float) -> DataFrame:
-    """block, at, src, dst, a, b: in all regions of that depth every pair of members (id, label, size, signature) of other
-    labels, a and b, whose signatures agree in least_share of the minima; once, in its first tree. `at` numbers the pairs
-    of a block from those that agree most.
-
-    A region is dealt out whole, wherever its members lie: in parts of about SIDE members, every part against every
-    other and itself, except that the parts of the label with most members don't meet each other."""
-    width = depth * WORD
-    keys = F.array(*[F.substring("signature", t * width + 1, width) for t in range(trees)])
-    exploded = rows.select("id", "label", "size", "signature", F.posexplode(keys).alias("tree", "key"))
-    counts = exploded.groupBy("tree", "key", "label").agg(F.count("*").alias("c"))
-    regions = counts.groupBy("tree", "key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    centres = scored.groupBy("component").agg(F.max(F.struct("agree", (-F.col("id")).alias("id"))).alias("best"))
+    centres = stored(centres.select(F.col("component").alias("of"), (-F.col("best.id")).alias("centre")), "forest-centres")
+    dealt = stored(_adaptive_blocks(large, most), "forest-blocks")
+    each = dealt.select("component", "block").distinct().join(centres, F.col("component") == F.col("of")).select(F.col("centre").alias("doc_id"), "block")
+    return dealt.select(F.col("id").alias("doc_id"), "block").unionByName(each).distinct()
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (doc_id and other columns) with the text of each row of docs that has the id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return of_ids(texts, ids, ids.count())
+
+
+def _common_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur in all texts of rows, as a power of two for each of CELLS values of their hash.
+
+    Any order of shingles finds all pairs; this one, of a size that no table changes, puts rare ones first."""
+    each = CELLS // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.uint32)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                np.add.at(total, (shingle_set(text, words) % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
+        if total.any():
+            parts = [packed(total[i * each : (i + 1) * each]) for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(each, np.uint64)
+        for frame in frames:
+            for x in frame["counts"]:
+                total += unpacked(x, "u4")
+        yield pd.DataFrame({"slice": [key[0]], "power": [packed(np.log2(total + np.uint64(1)).astype(np.uint8))]})
+
+    found = rows.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, power binary").collect()
+    powers = np.zeros(CELLS, np.uint8)
+    for r in found:  # SLICES rows at most
+        powers[r["slice"] * each : (r["slice"] + 1) * each] = unpacked(r["power"], "u1")
+    return powers
+
+
+def _rare_shingles(rows: DataFrame, powers: np.ndarray, words: int, percent: int) -> DataFrame:
+    """shingle, at, id, label, size: of every text (doc_id, label) the first shingles, rarest first, of which a set that
+    reaches `percent` with it must have one; `at` is the place in that order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, label, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True):
+                own = shingle_set(text, words)
+                if len(own):
+                    order = np.lexsort((own, powers[(own % np.uint64(CELLS)).astype(np.int64)]))
+                    first = own[order[: len(own) - -(-percent * len(own) // 100) + 1]]
+                    n = len(first)
+                    out.append((first.view(np.int64), np.arange(n), np.full(n, doc), np.full(n, label), np.full(n, len(own))))
+            if out:
+                columns = [pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "at", "id", "label", "size"])
+
+    return rows.select("doc_id", "label", "text").mapInArrow(run, "shingle long, at long, id long, label long, size long")
+
+
+def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """block, src, dst, a, b: once, every pair of members of other labels, a and b, that share a shingle of `rare` and whose
+    sets can reach `percent` for all that sizes and places in the order tell.
+
+    A shingle's members are dealt out wherever they lie: in parts of about SIDE, every part against every other and
+    itself, except that the parts of the label with most members don't meet each other."""
+    counts = rare.groupBy("shingle", "label").agg(F.count("*").alias("c"))
+    buckets = counts.groupBy("shingle").agg(F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     parts = [F.col("most.label").alias("top"), F.ceil(F.col("most.c") / SIDE).alias("tops"), F.ceil((F.col("n") - F.col("most.c")) / SIDE).alias("others")]
-    regions = stored(regions.select(F.col("tree").alias("of_tree"), F.col("key").alias("of_key"), *parts), "forest-regions")
+    buckets = stored(buckets.select(F.col("shingle").alias("of"), *parts), "forest-buckets")
     of_top, hashed = F.col("label") == F.col("top"), F.xxhash64("id")
     last = F.col("tops") + F.col("others") - 1
     part = F.when(of_top, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("others")))
     against = F.explode(F.sequence(F.when(of_top, F.col("tops")).otherwise(F.lit(0).cast("long")), last))
-    met = exploded.join(regions, (F.col("tree") == F.col("of_tree")) & (F.col("key") == F.col("of_key"))).withColumn("part", part).withColumn("against", against)
-    block = F.xxhash64("tree", "key", F.least("part", "against"), F.greatest("part", "against")).alias("block")
-    dealt = met.select(block, "tree", "part", (F.col("part") == F.col("against")).alias("within"), "id", "label", "size", "signature")
+    met = rare.join(buckets, F.col("shingle") == F.col("of")).withColumn("part", part).withColumn("against", against)
+    block = F.xxhash64("shingle", F.least("part", "against"), F.greatest("part", "against")).alias("block")
+    dealt = met.select(block, "part", (F.col("part") == F.col("against")).alias("within"), "id", "label", "size", "at")
 
-    def pairs(block: int, tree: np.ndarray, part: np.ndarray, within: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, signatures: np.ndarray) -> pa.RecordBatch:
+    def pairs(block: int, part: np.ndarray, within: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         x = np.arange(len(ids)) if within[0] else np.flatnonzero(part == part[0])
         y = x if within[0] else np.flatnonzero(part != part[0])
-        share = (signatures[x][:, None, :] == signatures[y][None, :, :]).mean(2)
         a, b = sizes[x][:, None], sizes[y][None, :]
-        fine = (share >= least_share) & (labels[x][:, None] != labels[y][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        both = np.minimum(a - at[x][:, None], b - at[y][None, :])  # at most so many shingles are common, if this is the first
+        fine = (labels[x][:, None] != labels[y][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * both >= percent * (a + b))
         i, j = np.nonzero(np.triu(fine) if within[0] else fine)
-        share, i, j = share[i, j], x[i], y[j]
-        own = (signatures[i] == signatures[j]).reshape(-1, trees, depth).all(2).argmax(1) == tree[0]  # in its first tree only
-        i, j, share = i[own], j[own], share[own]
-        order = np.argsort(-share, kind="stable")
-        i, j = i[order], j[order]
-        columns = [np.full(len(i), block), np.arange(len(i)), ids[i], ids[j], labels[i], labels[j]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "at", "src", "dst", "a", "b"])
+        i, j = x[i], y[j]
+        turned = ids[i] > ids[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        columns = [np.full(len(i), block), ids[i], ids[j], labels[i], labels[j]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["block", "src", "dst", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
@@ -222,23 +319,21 @@ def _region_pairs(rows: DataFrame, trees: int, depth: int, percent: int, least_s
             rest = [] if b is None else [whole.slice(cuts[-2])]  # the last block may go on
             if b is not None:
                 cuts.pop()
-            columns = [whole.column(c).to_numpy() for c in ("tree", "part", "within", "id", "label", "size")]
-            signatures = np.frombuffer(b"".join(whole.column("signature").to_pylist()), ">u4").astype(np.uint32).reshape(len(blocks), -1)
+            columns = [whole.column(c).to_numpy() for c in ("part", "within", "id", "label", "size", "at")]
             for low, high in zip(cuts, cuts[1:], strict=False):
-                yield pairs(blocks[low], *(c[low:high] for c in columns), signatures[low:high])
+                yield pairs(blocks[low], *(c[low:high] for c in columns))
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, at long, src long, dst long, a long, b long")
+    found = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, src long, dst long, a long, b long")
+    return found.groupBy("src", "dst").agg(F.min("block").alias("block"), F.first("a").alias("a"), F.first("b").alias("b"))
 
 
 def _verified_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """src, dst: the pairs of _region_pairs that sets of at least `percent` link, but for those of labels that earlier pairs
-    of the block link already."""
-    ends = pairs.select("block", F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    ends = stored(ends, "forest-ends")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """src, dst: the pairs (block, src, dst, a, b) that sets of at least `percent` link, but for those of labels that earlier
+    pairs of the block link already."""
+    ends = stored(pairs.select("block", F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), "forest-ends")
     none = F.lit(None).cast("long")
-    members = of_ids(texts, ends, ends.count()).select("block", none.alias("at"), F.col("doc_id").alias("src"), *(none.alias(c) for c in ("dst", "a", "b")), "text")
-    asked = pairs.withColumn("text", F.lit(None).cast("string"))
+    members = _texts_of(docs, ends).select("block", F.col("doc_id").alias("src"), *(none.alias(c) for c in ("dst", "a", "b")), "text")
+    asked = pairs.select("block", "src", "dst", "a", "b", F.lit(None).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sets, parent = None, {}, {}
@@ -251,10 +346,10 @@ def _verified_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int)
 
         for batch in batches:
             out = []
-            for own, at, src, dst, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, src, dst, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if own != block:
                     block, sets, parent = own, {}, {}
-                if at is None:  # members come first
+                if dst is None:  # members come first
                     sets.setdefault(src, []).append(shingle_set(text, words))  # rows may share an id
                 elif root(a) != root(b):
                     for x, y in product(sets[src], sets[dst]):
@@ -265,7 +360,7 @@ def _verified_pairs(docs: DataFrame, pairs: DataFrame, words: int, percent: int)
                             break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
-    dealt = members.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("at").asc_nulls_first())
+    dealt = members.unionByName(asked).repartition("block").sortWithinPartitions("block", F.col("dst").asc_nulls_first(), "src")
     return dealt.mapInArrow(run, "src long, dst long")
 
 
@@ -288,6 +383,9 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
     minima = trees * depth
     rows = stored(shingled(docs, words, minima), "forest-signatures")
     whole = rows.where("print is not null and doc_id is not null")
+    n, ids = whole.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n > ids:  # of rows with one id and text one is compared
+        docs = docs.select("doc_id", "text").dropDuplicates(["doc_id", "text"])
     classes = stored(whole.groupBy("print").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")), "forest-classes")
     groups = connected_components(_neighbour_edges(classes.select("id", "signature"), trees, depth))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "of")
@@ -298,16 +396,19 @@ def _near_duplicates(docs: DataFrame, percent: int, words: int, trees: int, dept
     signed = classes.select("id", "signature", "size").dropDuplicates(["id"])
     if n_large:
         large = stored(sized.where(F.col("n") > most).join(signed, F.col("node") == F.col("id")).select("id", "component", "n", "signature", "size"), "forest-large")
-        members = stored(members.unionByName(_blocks_of_large(large, trees, minima, most)), "forest-members")
+        members = stored(members.unionByName(_blocks_of_large(large, minima, most)), "forest-members")
     links = stored(_verified(docs, members, members.count(), words, percent), "forest-links")
     labels = connected_components(links)
     if n_large:
-        own = F.coalesce("label", "id")
-        labelled = large.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").select("id", own.alias("label"), "size", "signature")
-        labelled = stored(labelled, "forest-labels")
-        pairs = stored(_region_pairs(labelled, trees, depth, percent, percent / 100 - 0.2), "forest-pairs")
-        more = stored(_verified_pairs(docs, pairs, words, percent), "forest-links")
-        labels = connected_components(links.unionByName(more))
+        labels_of = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
+        labelled = stored(large.join(labels_of, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")), "forest-labels")
+        apart = labelled.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        apart = stored(apart.select(F.col("component").alias("of")), "forest-apart")  # groups that are not one label yet
+        members = stored(labelled.join(apart, F.col("component") == F.col("of")).select(F.col("id").alias("doc_id"), "label"), "forest-members")
+        texts = stored(_texts_of(docs, members).select("doc_id", "label", "text"), "forest-texts")
+        rare = stored(_rare_shingles(texts, _common_shingles(texts, words), words, percent), "forest-rare")
+        pairs = stored(_rare_pairs(rare, percent), "forest-pairs")
+        labels = connected_components(links.unionByName(stored(_verified_pairs(docs, pairs, words, percent), "forest-links")))
     joined = classes.select("print", "id").join(labels, F.col("id") == F.col("node"), "left")
     groups_of = stored(joined.select(F.col("print").alias("of"), F.coalesce("component", "id").alias("group")), "forest-result")
     component = F.coalesce("group", "doc_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import near_dups
 from helixframe.llm.near_dups import near_duplicates, without_near_duplicates
-from helixframe.llm.shingles import MinHash, shingle_set
+from helixframe.llm.shingles import shingle_set
 
 
 def brute_force(corpus, percent):
@@ -110,22 +110,38 @@ def test_regions_of_a_large_group_stay_whole(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
 
 
-def test_every_partner_of_a_label_is_tried(spark):
-    """Signatures that agree most need not be of the pair that reaches the threshold."""
-    minima = MinHash(64)
-    text = {i: t for i, t in family(40, 0)}
+def test_every_partner_of_another_label_is_met(spark, monkeypatch):
+    """All pairs of two labels that reach the threshold are candidates, however many members share a shingle."""
+    monkeypatch.setattr(near_dups, "SIDE", 16)
+    text = dict(family(120, 20))
     sets = {i: shingle_set(t) for i, t in text.items()}
-    rows = [(i, min(i, 1), len(s), bytearray(minima(s).tobytes())) for i, s in sets.items()]
-    labelled = spark.createDataFrame(rows, "id long, label long, size long, signature binary")
-    found = {(r["src"], r["dst"]) for r in near_dups._region_pairs(labelled, 16, 4, 70, 0.5).collect()}
-    names = {i: np.frombuffer(r[3], ">u4") for i, r in enumerate(rows)}
-    want = {i for i in names if i and (names[0] == names[i]).mean() >= 0.5 and (names[0] == names[i]).reshape(16, 4).all(1).any()}
-    assert len(want) > 20 and {max(p) for p in found} == want
-    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
-    pairs = near_dups._region_pairs(labelled, 16, 4, 70, 0.5)
-    first = [r["dst"] if r["src"] == 0 else r["src"] for r in pairs.orderBy("block", "at").collect()]
-    assert len(first) == len(set(first))  # each pair in one tree only
-    share = {i: len(np.intersect1d(sets[0], sets[i])) / len(np.union1d(sets[0], sets[i])) for i in first}
-    percent = int(100 * max(share.values()))
-    linked = near_dups._verified_pairs(docs, pairs, 5, percent).collect()
-    assert linked and all(100 * share[max(r)] >= percent for r in linked)
+    rows = spark.createDataFrame([(i, i % 7, t) for i, t in text.items()], "doc_id long, label long, text string").repartition(3)
+    rare = near_dups._rare_shingles(rows, near_dups._common_shingles(rows, 5), 5, 75)
+    pairs = near_dups._rare_pairs(rare, 75)
+    found = [(r["src"], r["dst"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and all(a % 7 != b % 7 for a, b in found)
+    share = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in sets for j in sets if i < j and i % 7 != j % 7}
+    want = {p for p, x in share.items() if x >= 0.75}
+    assert len(want) > 100 and want <= set(found)
+    linked = [(r["src"], r["dst"]) for r in near_dups._verified_pairs(rows, pairs, 5, 75).collect()]
+    assert linked and set(linked) <= want
+
+
+def test_blocks_of_large_groups_are_as_deep_as_it_takes(spark):
+    rng = random.Random(4)
+    signature = lambda x: bytearray(np.array(x, ">u4").tobytes())
+    rows = [(i, 1, signature([i % 3, rng.randrange(50), rng.randrange(2**32), i])) for i in range(900)] + [(900 + i, 2, signature([7] * 4)) for i in range(100)]
+    found = near_dups._adaptive_blocks(spark.createDataFrame(rows, "id long, component long, signature binary").coalesce(1), 30).collect()
+    assert len({r["id"] for r in found}) == len(found) == len(rows)
+    blocks = {}
+    for r in found:
+        blocks.setdefault(r["block"], []).append(r)
+    assert all(len(b) <= 30 and len({r["component"] for r in b}) == 1 for b in blocks.values())
+
+
+def test_rows_that_repeat_a_third_of_the_table(spark):
+    texts = dict(family(150, 40))
+    rows = list(texts.items()) + [(5, texts[5])] * 100
+    want = {i: c for i, (_, c) in brute_force(list(texts.items()), 80).items()}
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 80).collect()
+    assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == want
