@@ -11,12 +11,18 @@ bytes. Two equal strings of that length have the same anchors, so every repeated
    in a group each suffix finds the windows around it that a smaller document has.
 
 Answers return to the run, and from there to each document as the spans to remove.
+
+Runs and buckets grow with the square root of the text, up to a bound, so that pieces stay as large; beyond it pieces go
+in two steps, by groups of runs and ranges of buckets: a loser tree merges what a group sends to a range, and answers
+return the same way. More streams than a tree may have are merged in passes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -30,14 +36,51 @@ from helixframe.session import stored
 
 GRAM = 20
 HASH_BITS = 48
-RUN_BYTES = 8_000_000
-BUCKET_BYTES = 8_000_000
+#: The least and the most text of a run or a bucket, and the text that a run should have in a bucket.
+RUN_BYTES, MOST_BYTES, PIECE_BYTES = 8_000_000, 32_000_000, 32_000
+#: Up to so many buckets pieces go there in one step.
+DIRECT_BUCKETS = 4096
 CHUNK_BYTES = 200_000
+#: The most streams of a loser tree.
 MERGED_RUNS = 256
 SMALL_GROUP = 12
+SENT = "bucket long, grp long, run long, kind int, a binary, b binary, c binary"
 ANSWER = "run long, kind int, a binary, b binary, c binary"
 
 
+@dataclass(frozen=True)
+class Exchange:
+    """How text is dealt to runs, suffixes to buckets, and whether they get there in one step or two."""
+
+    run_bytes: int
+    buckets: int
+    ranges: int  # of buckets; 0 in one step
+    streams: int
+
+    @classmethod
+    def of(cls, total: int) -> Exchange:
+        size = max(RUN_BYTES, min(MOST_BYTES, isqrt(total * PIECE_BYTES)))
+        buckets = max(1, -(-total // size))
+        return cls(size, buckets, isqrt(buckets) if buckets > DIRECT_BUCKETS else 0, MERGED_RUNS)
+
+    @property
+    def per_range(self) -> int:
+        return -(-self.buckets // max(1, self.ranges))
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def first(self, hashes: np.ndarray) -> np.ndarray:
+        """Where a run sends hashes: their bucket, or the first one of its range."""
+        return self.bucket(hashes) // self.per_range * self.per_range if self.ranges else self.bucket(hashes)
+
+    def group(self, run: int) -> int:
+        """Of a run's group, as many as there are ranges; each run is one of its own in one step."""
+        return ((run >> 32) * 0x9E3779B1 + (run & 0xFFFFFFFF)) % self.ranges if self.ranges else run
+
+    def by_group(self, rows: DataFrame):
+        return rows.groupBy(F.floor(F.col("bucket") / self.per_range).alias("range"), "grp")
+
 class Anchors:
     """Places of anchors in texts, and the hashes of the grams there, for strings of `length` bytes."""
 
@@ -112,8 +155,8 @@ class Anchors:
             at = end
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[list]]]:
-    """Rows of a task in runs of about RUN_BYTES of text (the second column), each with a number of its own."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: int, run_bytes: int) -> Iterator[tuple[int, list[list]]]:
+    """Rows of a task in runs of about run_bytes of text (the second column), each with a number of its own."""
     task, n, size, out = TaskContext.get().partitionId(), 0, 0, [[] for _ in range(columns)]
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(columns)), strict=True):
@@ -121,17 +164,19 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int
             for to, value in zip(out, (row[0], text, *row[2:]), strict=True):
                 to.append(value)
             size += len(text)
-            if size >= RUN_BYTES:
+            if size >= run_bytes:
                 yield task << 32 | n, out
                 n, size, out = n + 1, 0, [[] for _ in range(columns)]
     if out[0]:
         yield task << 32 | n, out
 
 
-def _rows(rows: list[tuple], bucket: bool) -> pa.RecordBatch:
-    kinds = [pa.int32()] * bucket + [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["bucket"] * bucket + ["run", "kind", "a", "b", "c"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=NAMES)
+
+
+NAMES = ["bucket", "grp", "run", "kind", "a", "b", "c"]
 
 
 def _ends(first: np.ndarray, n: int) -> np.ndarray:
@@ -139,25 +184,31 @@ def _ends(first: np.ndarray, n: int) -> np.ndarray:
     return np.append(first[1:], n) if len(first) else first
 
 
-def _sliced(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, last) of sorted hashes."""
-    own = (hashes * np.uint64(buckets) >> np.uint64(HASH_BITS)).astype(np.int64)
+def _slices(own: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, last) of the stretches of equal values."""
     first = np.flatnonzero(np.diff(own, prepend=-1))
-    for a, b in zip(first, _ends(first, len(own)), strict=True):
-        yield int(own[a]), int(a), int(b)
+    for a, b in zip(first.tolist(), _ends(first, len(own)).tolist(), strict=True):
+        yield int(own[a]), a, b
+
+
+def _by_run(runs: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(run, its part of each column)."""
+    order = np.argsort(runs, kind="stable")
+    for run, a, b in _slices(runs[order]):
+        yield run, *(c[order[a:b]] for c in columns)
 
 
 TABLE, PART, HOT = 0, 1, 2
 
 
-def _shared_anchors(docs: DataFrame, anchors: Anchors, buckets: int) -> DataFrame:
+def _shared_anchors(docs: DataFrame, anchors: Anchors, x: Exchange) -> DataFrame:
     """doc_id, grams: the hashes of each document's anchors that another document has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, (ids, texts) in _runs(batches, 2):
+        for run, (ids, texts) in _runs(batches, 2, x.run_bytes):
             found = [(h, t) for _, _, t, _, h, _ in anchors.of_texts(texts)]
-            h = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
-            t = np.concatenate([x[1] for x in found]).astype(np.uint32) if found else np.zeros(0, np.uint32)
+            h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+            t = np.concatenate([f[1] for f in found]).astype(np.uint32) if found else np.zeros(0, np.uint32)
             order = np.lexsort((t, h))
             h, t = h[order], t[order]
             fresh = np.ones(len(h), bool)
@@ -166,43 +217,81 @@ def _shared_anchors(docs: DataFrame, anchors: Anchors, buckets: int) -> DataFram
             first = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1))) if len(h) else np.zeros(0, np.int64)
             many = np.diff(np.append(first, len(h))) > 1
             known = np.repeat(many, np.diff(np.append(first, len(h))))
-            out = [(run % buckets, run, TABLE, packed(np.array(ids, np.int64)), packed(h[known]), packed(t[known]))]
+            out = [(run % x.buckets, x.group(run), run, TABLE, packed(np.array(ids, np.int64)), packed(h[known]), packed(t[known]))]
             h, t = h[first], np.where(many, np.uint32(2**32 - 1), t[first])  # of several documents none needs an answer
-            out += [(k, run, PART, packed(np.diff(h[a:b], prepend=np.uint64(0))), packed(t[a:b]), None) for k, a, b in _sliced(h, buckets)]
-            yield _rows(out, True)
+            out += [(k, x.group(run), run, PART, _rising(h[a:b]), packed(t[a:b]), None) for k, a, b in _slices(x.first(h))]
+            yield _rows(out)
+
+    def parts(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text and run of all that a frame has."""
+        rows = list(frame[frame["kind"] == PART].itertuples())
+        h = [np.cumsum(unpacked(r.a, "u8"), dtype=np.uint64) for r in rows]
+        runs = [np.full(len(y), r.run) if r.c is None else unpacked(r.c, "i8") for r, y in zip(rows, h, strict=True)]
+        none = [np.zeros(0, np.uint64)]
+        return np.concatenate(h + none), np.concatenate([unpacked(r.b, "u4") for r in rows] + none).astype(np.uint32), np.concatenate(runs + none).astype(np.int64)
+
+    def combine(frame: pd.DataFrame) -> pd.DataFrame:
+        """What a group of runs sends to each bucket of a range."""
+        out, grp = list(frame[frame["kind"] == TABLE][NAMES].itertuples(index=False, name=None)), int(frame["grp"].iloc[0])
+        h, t, runs = parts(frame)
+        order = np.argsort(h, kind="stable")
+        h, t, runs = h[order], t[order], runs[order]
+        out += [(k, grp, -1, PART, _rising(h[a:b]), packed(t[a:b]), packed(runs[a:b])) for k, a, b in _slices(x.bucket(h))]
+        return pd.DataFrame(out, columns=NAMES)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame["kind"] == PART
-        out = [(r.run, TABLE, r.a, r.b, r.c) for r in frame[~own].itertuples()]
-        parts = [(r.run, np.cumsum(unpacked(r.a, "u8"), dtype=np.uint64), unpacked(r.b, "u4")) for r in frame[own].itertuples()]
-        if parts:
-            h = np.concatenate([p[1] for p in parts])
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            twice = np.zeros(len(h), bool)
-            same = s[1:] == s[:-1]  # a run sends each hash once, so equal ones come from two
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            at = 0
-            for run, hashes, texts in parts:
-                keep = twice[at : at + len(hashes)] & (texts != 2**32 - 1)
-                at += len(hashes)
-                if keep.any():
-                    out.append((run, PART, None, packed(hashes[keep]), packed(texts[keep])))
-        return pd.DataFrame(out, columns=["run", "kind", "a", "b", "c"])
+        out, bucket = list(frame[frame["kind"] == TABLE][NAMES].itertuples(index=False, name=None)), int(frame["bucket"].iloc[0])
+        h, t, runs = parts(frame)
+        order = np.argsort(h, kind="stable")
+        s, twice = h[order], np.zeros(len(h), bool)
+        same = s[1:] == s[:-1]  # a run sends each hash once, so equal ones come from two
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        keep = twice & (t != 2**32 - 1)
+        h, t, runs = h[keep], t[keep], runs[keep]
+        if x.ranges:
+            own = np.array([x.group(r) for r in runs.tolist()], np.int64)
+            out += [(bucket, grp, -1, PART, packed(r), packed(a), packed(b)) for grp, r, a, b in _by_run(own, runs, h, t)]
+        else:
+            out += [(bucket, run, run, PART, None, packed(a), packed(b)) for run, a, b in _by_run(runs, h, t)]
+        return pd.DataFrame(out, columns=NAMES)
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         ids = unpacked(frame["a"][frame["kind"] == TABLE].iloc[0], "i8")
-        h = np.concatenate([unpacked(x, "u8") for x in frame["b"]])
-        t = np.concatenate([unpacked(x, "u4") for x in frame["c"]])
+        h = np.concatenate([unpacked(y, "u8") for y in frame["b"]])
+        t = np.concatenate([unpacked(y, "u4") for y in frame["c"]])
         order = np.argsort(t, kind="stable")
         h, t = h[order], t[order]
         first = np.flatnonzero(np.diff(t.astype(np.int64), prepend=-1))
         last = _ends(first, len(t))
         return pd.DataFrame({"doc_id": ids[t[first]], "grams": [h[a:b].tobytes() for a, b in zip(first, last, strict=True)]})
 
-    sent = docs.mapInArrow(send, f"bucket int, {ANSWER}")
-    return sent.groupBy("bucket").applyInPandas(match, ANSWER).groupBy("run").applyInPandas(gather, "doc_id long, grams binary")
+    sent = docs.mapInArrow(send, SENT)
+    if x.ranges:
+        sent = x.by_group(sent).applyInPandas(combine, SENT)
+    found = sent.groupBy("bucket").applyInPandas(match, SENT)
+    if x.ranges:
+        found = x.by_group(found).applyInPandas(_split("u8"), SENT)
+    return found.groupBy("run").applyInPandas(gather, "doc_id long, grams binary")
+
+
+def _rising(h: np.ndarray) -> bytes:
+    return packed(np.diff(h, prepend=np.uint64(0)))
+
+
+def _split(kind: str):
+    """Answers to a group of runs as answers to each; b has one value of the kind or more for each run in a."""
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        out, bucket, grp = list(frame[frame["kind"] != PART][NAMES].itertuples(index=False, name=None)), int(frame["bucket"].iloc[0]), int(frame["grp"].iloc[0])
+        rows = list(frame[frame["kind"] == PART].itertuples())
+        if rows:
+            runs, c = np.concatenate([unpacked(r.a, "i8") for r in rows]), np.concatenate([unpacked(r.c, "u4") for r in rows])
+            b = np.concatenate([unpacked(r.b, kind) for r in rows]).reshape(len(runs), -1)
+            out += [(bucket, grp, run, PART, None, packed(y.reshape(-1)), packed(z)) for run, y, z in _by_run(runs, b, c)]
+        return pd.DataFrame(out, columns=NAMES)
+
+    return split
 
 
 class LoserTree:
@@ -271,6 +360,18 @@ class LoserTree:
             self.winner = w
 
 
+def merged(streams: list[Iterator[tuple]], width: int, most: int = MERGED_RUNS) -> LoserTree:
+    """A loser tree over the streams, or over trees of at most `most` of them, in as many passes as it takes."""
+
+    def again(tree: LoserTree) -> Iterator[tuple]:
+        for item, common in tree:
+            yield item[0], common, *item[2:]
+
+    while len(streams) > most:
+        streams = [again(LoserTree(streams[a : a + most], width)) for a in range(0, len(streams), most)]
+    return LoserTree(streams, width)
+
+
 class Repeats:
     """Finds, in groups of suffixes with one gram, the windows that a smaller document has."""
 
@@ -329,25 +430,34 @@ def _front_coded(keys: np.ndarray) -> tuple[bytes, bytes]:
     return packed(common), packed(keys[np.arange(keys.shape[1]) >= common[:, None]])
 
 
-def _decoded(common: np.ndarray, rest: bytes, width: int, docs, right, left, place, text, run: int) -> Iterator[tuple]:
-    """(key, common, doc, right, left, place, text, run), keys as numbers."""
-    at, last = 0, b""
-    rows = zip(common.tolist(), docs.tolist(), right.tolist(), left.tolist(), place.tolist(), text.tolist(), strict=True)
-    for c, *more in rows:
+RECORD = np.dtype([("doc", "i8"), ("run", "i8"), ("place", "u4"), ("text", "u4"), ("right", "u1"), ("left", "u1")])
+
+
+def _decoded(row, width: int) -> Iterator[tuple]:
+    """(key, common, doc, right, left, place, text, run) of a piece, keys as numbers."""
+    x, common, rest = unpacked_records(row.c), unpacked(row.a, "u1"), unpacked(row.b, "u1").tobytes()
+    at, last, key = 0, b"", 0
+    names = ("doc", "right", "left", "place", "text", "run")
+    for c, *more in zip(common.tolist(), *(x[n].tolist() for n in names), strict=True):
         end = at + width - c
         if at < end:
             last = last[:c] + rest[at:end]
             key = int.from_bytes(last, "big")
             at = end
-        yield key, c, *more, run
+        yield key, c, *more
 
 
-RECORD = np.dtype([("doc", "i8"), ("place", "u4"), ("text", "u4"), ("right", "u1"), ("left", "u1")])
+def _pieces(key: np.ndarray, record: np.ndarray, own: np.ndarray, grp: int, run: int) -> Iterator[tuple]:
+    """Rows for each bucket in `own` of keys in order."""
+    by = np.argsort(own, kind="stable")  # a bucket's keys stay in order
+    for k, a, b in _slices(own[by]):
+        yield k, grp, run, PART, *_front_coded(key[by[a:b]]), packed_records(record[by[a:b]])
 
 
-def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int) -> DataFrame:
+def _repeated_spans(docs: DataFrame, anchors: Anchors, x: Exchange, most: int) -> DataFrame:
     """doc_id, spans: where documents (doc_id, text, grams) repeat a string of a smaller document."""
     repeats, length, before = Repeats(anchors.length), anchors.length, anchors.length - GRAM
+    width = before + length
 
     def records(ids: np.ndarray, texts: list[bytes], grams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """hash, key bytes and RECORD of all suffixes at shared anchors."""
@@ -371,13 +481,13 @@ def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int)
             out.append((h, np.where(inside, key, 0).astype(np.uint8), record))
         if not out:
             return np.zeros(0, np.uint64), np.zeros((0, before + length), np.uint8), np.zeros(0, RECORD)
-        return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+        return tuple(np.concatenate([y[i] for y in out]) for i in range(3))
 
     def in_order(key: np.ndarray) -> np.ndarray:
         return np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}")[:, 0], kind="stable")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run, (ids, texts, grams) in _runs(batches, 3):
+        for run, (ids, texts, grams) in _runs(batches, 3, x.run_bytes):
             ids = np.array(ids, np.int64)
             h, key, record = records(ids, texts, grams)
             by = np.argsort(record["doc"], kind="stable")
@@ -391,80 +501,79 @@ def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int)
             r = record[later]
             r = r[r["right"].astype(int) + r["left"] >= length]
             spans = np.stack([r["place"].astype(np.int64) - r["left"], r["place"].astype(np.int64) + r["right"]], 1).astype(np.int32)
-            out = [(run % buckets, run, TABLE, packed(ids), packed(spans.reshape(-1)), packed(r["text"].astype(np.uint32)))]
+            out = [(run % x.buckets, x.group(run), run, TABLE, packed(ids), packed(spans.reshape(-1)), packed(r["text"].astype(np.uint32)))]
             h, key, record = h[~later], key[~later], record[~later]
-            by = np.argsort(h * np.uint64(buckets) >> np.uint64(HASH_BITS), kind="stable")  # a bucket's keys stay in order
-            h, key, record = h[by], key[by], record[by]
-            for k, a, b in _sliced_in_order(h, buckets):
-                out.append((k, run, PART, *_front_coded(key[a:b]), packed(record[a:b])))
-            yield _rows(out, True)
-
-    def _sliced_in_order(h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-        own = (h * np.uint64(buckets) >> np.uint64(HASH_BITS)).astype(np.int64)
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        return ((int(own[a]), int(a), int(b)) for a, b in zip(first, _ends(first, len(own)), strict=True))
-
-    def streams(parts) -> list[Iterator[tuple]]:
-        """The runs of a bucket, gathered to MERGED_RUNS at most."""
-        width = before + length
-        parts = [(r.run, unpacked(r.a, "u1"), unpacked(r.b, "u1").tobytes(), unpacked_records(r.c)) for r in parts]
-        whole = [_decoded(c, rest, width, x["doc"], x["right"], x["left"], x["place"], x["text"], run) for run, c, rest, x in parts]
-        if len(whole) <= MERGED_RUNS:
-            return whole
-        merged = []
-        for at in range(MERGED_RUNS):
-            own = whole[at::MERGED_RUNS]
-            merged.append(_with_prefixes(sorted((x for r in own for x in r), key=lambda x: x[0]), width) if len(own) > 1 else own[0])
-        return merged
+            record["run"] = run
+            yield _rows(out + list(_pieces(key, record, x.first(h), x.group(run), run)))
+
+    def streams(frame: pd.DataFrame) -> LoserTree:
+        return merged([_decoded(r, width) for r in frame[frame["kind"] == PART].itertuples()], width, x.streams)
+
+    def as_arrays(items: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.frombuffer(b"".join(g[0].to_bytes(width, "big") for g in items), np.uint8).reshape(-1, width)
+        return key, np.array([(g[2], g[7], g[5], g[6], g[3], g[4]) for g in items], RECORD)
+
+    def combine(frame: pd.DataFrame) -> pd.DataFrame:
+        """What a group of runs sends to each bucket of a range: their suffixes in one order."""
+        out, grp = list(frame[frame["kind"] == TABLE][NAMES].itertuples(index=False, name=None)), int(frame["grp"].iloc[0])
+        done, some = [], []
+        for item, _ in streams(frame):
+            some.append(item)
+            if len(some) == 10_000:
+                done.append(as_arrays(some))
+                some = []
+        done.append(as_arrays(some))
+        key, record = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        own = x.bucket(anchors.hashes(key.reshape(-1), np.arange(len(key)) * width)) if len(key) else np.zeros(0, np.int64)
+        return pd.DataFrame(out + list(_pieces(key, record, own, grp, -1)), columns=NAMES)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [(r.run, TABLE, r.a, r.b, r.c) for r in frame[frame["kind"] == TABLE].itertuples()]
-        answers: dict[int, tuple[list, list]] = {}
+        out, bucket = list(frame[frame["kind"] == TABLE][NAMES].itertuples(index=False, name=None)), int(frame["bucket"].iloc[0])
+        answers: dict[int, tuple[list, list, list]] = {}  # by run, or by group
         hot: list[tuple] = []
 
         def resolve(group: list[tuple]) -> None:
             for g, mask in zip(group, repeats.masks(group), strict=True):
                 if mask:
-                    spans, texts = answers.setdefault(g[7], ([], []))
+                    spans, texts, runs = answers.setdefault(x.group(g[7]), ([], [], []))
                     for a, b in repeats.spans(mask, g[5]):
                         spans += (a, b)
                         texts.append(g[6])
+                        runs.append(g[7])
 
         group, over = [], False
-        parts = frame[frame["kind"] == PART]
-        if len(parts):
-            for item, common in LoserTree(streams(parts.itertuples()), before + length):
-                if common < GRAM:
-                    if over:
-                        hot += group
-                    elif len(group) > 1:
-                        resolve(group)
-                    group, over = [], False
-                group.append(item)
-                if len(group) > most:
+        for item, common in streams(frame):
+            if common < GRAM:
+                if over:
                     hot += group
-                    group, over = [], True
-            if over:
+                elif len(group) > 1:
+                    resolve(group)
+                group, over = [], False
+            group.append(item)
+            if len(group) > most:
                 hot += group
-            elif len(group) > 1:
-                resolve(group)
-        out += [(run, PART, None, packed(np.array(s, np.int32)), packed(np.array(t, np.uint32))) for run, (s, t) in answers.items()]
+                group, over = [], True
+        if over:
+            hot += group
+        elif len(group) > 1:
+            resolve(group)
+        for grp, (spans, texts, runs) in answers.items():
+            run, all_runs = (-1, packed(np.array(runs, np.int64))) if x.ranges else (runs[0], None)
+            out.append((bucket, grp, run, PART, all_runs, packed(np.array(spans, np.int32)), packed(np.array(texts, np.uint32))))
         for at in range(0, len(hot), 10_000):
-            some = hot[at : at + 10_000]
-            more = np.array([(g[2], g[5], g[6], g[3], g[4]) for g in some], RECORD)
-            out.append((0, HOT, b"".join(g[0].to_bytes(before + length, "big") for g in some), packed_records(more), np.array([g[7] for g in some], np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["run", "kind", "a", "b", "c"])
+            key, record = as_arrays(hot[at : at + 10_000])
+            out.append((bucket, 0, 0, HOT, key.tobytes(), None, packed_records(record)))
+        return pd.DataFrame(out, columns=NAMES)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every window around the suffixes of groups of more than `most`, as a row."""
         for b in batches:
-            for a, c, runs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                key = np.frombuffer(a, np.uint8).reshape(-1, before + length)
-                record, run = unpacked_records(c), np.frombuffer(runs, np.int64)
+            for a, c in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+                key, record = np.frombuffer(a, np.uint8).reshape(-1, width), unpacked_records(c)
                 for d in range(before + 1):
                     rows = np.flatnonzero((record["left"] >= d) & (record["right"] >= length - d))
                     text = np.concatenate([key[rows, length : length + d][:, ::-1], key[rows, : length - d]], axis=1)
-                    columns = [pa.array([x.tobytes() for x in text], pa.binary()), pa.array(record["doc"][rows]), pa.array(run[rows])]
+                    columns = [pa.array([x.tobytes() for x in text], pa.binary()), pa.array(record["doc"][rows]), pa.array(record["run"][rows])]
                     columns += [pa.array(record["text"][rows].astype(np.int64)), pa.array(record["place"][rows].astype(np.int32) - d)]
                     yield pa.RecordBatch.from_arrays(columns, names=["w", "doc", "run", "text", "start"])
 
@@ -484,21 +593,26 @@ def _repeated_spans(docs: DataFrame, anchors: Anchors, buckets: int, most: int)
         to = _ends(cut, len(owner))
         return pd.DataFrame({"doc_id": ids[owner[cut]], "spans": [joined[a:b].tobytes() for a, b in zip(cut, to, strict=True)]})
 
-    sent = docs.mapInArrow(send, f"bucket int, {ANSWER}")
-    merged = stored(sent.groupBy("bucket").applyInPandas(merge, ANSWER), "suffix-answers")
-    answers = merged.where(F.col("kind") != HOT)
-    hot = merged.where(F.col("kind") == HOT).select("a", "b", "c")
+    sent = docs.mapInArrow(send, SENT)
+    if x.ranges:
+        sent = x.by_group(sent).applyInPandas(combine, SENT)
+    found = stored(sent.groupBy("bucket").applyInPandas(merge, SENT), "suffix-answers")
+    hot = found.where(F.col("kind") == HOT).select("a", "c")
+    answers = found.where(F.col("kind") != HOT)
+    if x.ranges:
+        answers = x.by_group(answers).applyInPandas(_split("i4"), SENT)
+    answers = answers.select("run", "kind", "a", "b", "c")
     if hot.limit(1).count():
         rows = stored(hot.mapInArrow(windows, "w binary, doc long, run long, text long, start int"), "suffix-windows")
         least = stored(rows.groupBy("w").agg(F.min("doc").alias("least")).withColumnRenamed("w", "of"), "suffix-least")
-        found = rows.join(least, F.col("w") == F.col("of")).where("doc > least").select("run", "text", "start")
+        more = rows.join(least, F.col("w") == F.col("of")).where("doc > least").select("run", "text", "start")
 
         def answer(frame: pd.DataFrame) -> pd.DataFrame:
             start = frame["start"].to_numpy(np.int32)
             spans = np.stack([start, start + np.int32(length)], 1).reshape(-1)
             return pd.DataFrame([(int(frame["run"].iloc[0]), PART, None, packed(spans), packed(frame["text"].to_numpy(np.uint32)))], columns=["run", "kind", "a", "b", "c"])
 
-        answers = answers.unionByName(found.groupBy("run").applyInPandas(answer, ANSWER))
+        answers = answers.unionByName(more.groupBy("run").applyInPandas(answer, ANSWER))
     return answers.groupBy("run").applyInPandas(gather, "doc_id long, spans binary")
 
 
@@ -510,14 +624,6 @@ def unpacked_records(data: bytes) -> np.ndarray:
     return unpacked(data, f"V{RECORD.itemsize}").view(RECORD)
 
 
-def _with_prefixes(items: list[tuple], width: int) -> Iterator[tuple]:
-    last = None
-    for x in items:
-        common = 0 if last is None else width - ((x[0] ^ last).bit_length() + 7) // 8
-        last = x[0]
-        yield x[0], common, *x[2:]
-
-
 def repeated_spans(docs: DataFrame, length: int = 50, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """What to remove of every row of docs (doc_id, text).
 
@@ -552,10 +658,10 @@ def _repeated(docs: DataFrame, length: int, most: int) -> tuple[DataFrame, DataF
         chosen = stored(own.groupBy("doc_id").agg(F.min("digest").alias("own")).withColumnRenamed("doc_id", "id"), "suffix-chosen")
         joined = taken.withColumn("digest", F.sha2("text", 256)).join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own")))
         taken = joined.dropDuplicates(["doc_id"]).select("doc_id", "text")
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    grams = stored(_shared_anchors(taken, anchors, buckets), "suffix-grams")
+    x = Exchange.of(total)
+    grams = stored(_shared_anchors(taken, anchors, x), "suffix-grams")
     merged = grams.groupBy("doc_id").agg(F.first("grams").alias("grams"))
-    spans = _repeated_spans(taken.join(merged.hint("merge"), "doc_id").select("doc_id", "text", "grams"), anchors, buckets, most)
+    spans = _repeated_spans(taken.join(merged.hint("merge"), "doc_id").select("doc_id", "text", "grams"), anchors, x, most)
     return judged, stored(spans, "suffix-spans")
 
 

@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from helixframe.llm.suffixes import LoserTree, Repeats, remove_repeats, repeated_spans, without_repeats
+from helixframe.llm import suffixes
+from helixframe.llm.suffixes import Repeats, remove_repeats, repeated_spans, without_repeats
 
 
 def brute_force(corpus, length=50):
@@ -37,18 +39,32 @@ def test_equals_brute_force(docs, corpus):
     check(remove_repeats(docs).collect(), corpus)
 
 
-def test_small_runs_and_buckets(docs, corpus, monkeypatch):
-    monkeypatch.setattr("helixframe.llm.suffixes.RUN_BYTES", 3000)
-    monkeypatch.setattr("helixframe.llm.suffixes.BUCKET_BYTES", 20_000)
-    monkeypatch.setattr("helixframe.llm.suffixes.BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("direct", [4096, 1])
+def test_small_runs_and_buckets(docs, corpus, monkeypatch, direct):
+    """Many runs and buckets, in one step and in two; trees of two streams, so that there are several passes."""
+    for name, value in {"RUN_BYTES": 3000, "MOST_BYTES": 20_000, "PIECE_BYTES": 300, "DIRECT_BUCKETS": direct, "MERGED_RUNS": 2, "BROADCAST_BYTES": 0}.items():
+        monkeypatch.setattr(suffixes, name, value)
+    x = suffixes.Exchange.of(sum(len((t or "").encode()) for _, t in corpus))
+    assert x.buckets > 20 and (x.ranges > 3) == (direct == 1) and x.streams == 2
     check(remove_repeats(docs.coalesce(1)).collect(), corpus)
 
 
-def test_hot_groups_leave_the_merge(spark, docs, corpus, monkeypatch):
-    from helixframe.llm import suffixes
+def test_units_grow_with_the_text_up_to_a_bound():
+    sizes = [suffixes.Exchange.of(10**n) for n in range(6, 15)]
+    assert [x.ranges > 0 for x in sizes] == [x.buckets > suffixes.DIRECT_BUCKETS for x in sizes]
+    assert max(x.run_bytes for x in sizes) == suffixes.MOST_BYTES and sizes[0].buckets == 1
+    h = np.sort(np.random.default_rng(1).integers(0, 2**suffixes.HASH_BITS, 10_000).astype(np.uint64))
+    for x in sizes:
+        own = x.bucket(h)
+        assert (np.diff(own) >= 0).all() and own.min() >= 0 and own.max() < x.buckets
+        assert (x.first(h) // x.per_range == own // x.per_range).all()
 
+
+@pytest.mark.parametrize("direct", [4096, 1])
+def test_hot_groups_leave_the_merge(docs, corpus, monkeypatch, direct):
     monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (50, 3))
-    monkeypatch.setattr("helixframe.llm.suffixes.RUN_BYTES", 2000)
+    for name, value in {"RUN_BYTES": 2000, "MOST_BYTES": 2000, "DIRECT_BUCKETS": direct}.items():
+        monkeypatch.setattr(suffixes, name, value)
     check(remove_repeats(docs).collect(), corpus)
 
 
@@ -95,7 +111,11 @@ def test_loser_tree_merges_in_order():
             run.append((x, 0 if last is None else 6 - ((x ^ last).bit_length() + 7) // 8))
             last = x
         runs.append(run)
-    out = list(LoserTree([iter(r) for r in runs], 6))
+    for most in (256, 2, 3):
+        merged_in_order(runs, list(suffixes.merged([iter(r) for r in runs], 6, most)))
+
+
+def merged_in_order(runs, out):
     keys = [x[0] for x, _ in out]
     assert keys == sorted(x for r in runs for x, _ in r)
     for (a, b), (_, common) in zip(zip(keys, keys[1:], strict=False), out[1:], strict=True):
