@@ -1,9 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, asked by every training passage.
 
 Documents are read in overlapping passages; each is a query against the index. Block-max WAND finds all items whose
-score reaches the threshold: impacts are kept with their maximum per block of items, the sums of these maxima rule out
-nearly all (passage, block) pairs of a batch at once, and the postings of the rest are walked with pivots. A found item
-is verified on the text around the passage: the word n-grams of its question and those of its answer must both occur.
+score reaches the threshold: impacts are kept with their maximum per term and per block of a term's postings. Terms whose
+maxima together stay below the threshold can't make a passage reach it alone, so only the blocks of its other terms are
+looked at first; the sums of the blocks' maxima rule out nearly all of these for a batch at once, and the postings of the rest
+are walked with pivots. A found item is verified on the text around the passage: the word n-grams of its question and
+those of its answer must both occur. Postings and maxima are sparse, so an index grows with its items' text alone.
 
 The index holds test items, not documents. Items are dealt to indexes of bounded size; each is asked by all passages.
 """
@@ -25,7 +27,13 @@ WINDOW, STRIDE = 64, 32
 #: An item of more words is as good as this many of them: the least that some passage holds of it.
 COVERED = WINDOW - STRIDE // 2
 NOT_WORD = re.compile(r"[\W_]+")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, KNOWN_ITEMS = 300_000, 10_000
+#: How much scores may differ by the order of their sums.
+SLACK = 1e-6
+#: Weak terms are those that reach less than this share of the threshold together; at most 1, which changes no result.
+LIGHT = 0.4
+#: About so many blocks of postings are looked at together.
+EXPANDED = 500_000
 
 
 def normalise(word: str) -> str:
@@ -49,6 +57,11 @@ def ngrams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def _ends(first: np.ndarray, n: int) -> np.ndarray:
+    """Where slices of n values end that begin at first."""
+    return np.append(first[1:], n) if len(first) else first
+
+
 class Frequencies:
     """The number of items that have any word, of all their words, and of the items that have each word."""
 
@@ -78,57 +91,101 @@ class BlockMaxIndex:
         for w in (w for ws in words for w in ws):
             self.ids.setdefault(w, len(self.ids))
         self.terms = len(self.ids)
-        tf: list[dict[int, int]] = [{} for _ in range(self.terms)]
-        for at, ws in enumerate(words):
-            for w in ws:
-                own = tf[self.ids[w]]
-                own[at] = own.get(at, 0) + 1
-        impact: list[dict[int, float]] = []
-        total = np.zeros(len(words))
-        for word, own in zip(self.ids, tf, strict=True):
-            idf = np.log(1 + (whole.items - whole.having[word] + 0.5) / (whole.having[word] + 0.5))
-            impact.append({at: idf * c * (k1 + 1) / (c + k1 * (1 - b + b * self.lengths[at] / mean)) for at, c in own.items()})
-            for at, x in impact[-1].items():
-                total[at] += x
-        total *= np.minimum(1, COVERED / np.maximum(1, np.array(self.lengths or [1])))[: len(total)]
-        blocks = -(-len(words) // block)
-        self.maxima = np.zeros((self.terms + 1, max(1, blocks)), np.float32)
-        self.postings: list[tuple[list[int], list[float]]] = []
-        for t, own in enumerate(impact):
-            at = sorted(own)
-            self.postings.append((at, [own[i] / total[i] for i in at]))
-            for i, x in zip(*self.postings[-1], strict=True):
-                self.maxima[t, i // block] = max(self.maxima[t, i // block], x)
-        self.halves = []
-        for _, text in self.items:
-            q, a = question_and_answer(text)
-            self.halves.append((ngrams(q, n), ngrams(a, n)))
+        at = np.repeat(np.arange(len(words)), self.lengths)
+        term = np.fromiter((self.ids[w] for ws in words for w in ws), np.int64, len(at))
+        key, c = np.unique(term * max(1, len(words)) + at, return_counts=True)
+        term, self.at = np.divmod(key, max(1, len(words)))  # postings by term, then by item
+        having = np.array([whole.having[w] for w in self.ids], np.int64)
+        idf = np.log(1 + (whole.items - having + 0.5) / (having + 0.5))
+        lengths = np.array(self.lengths, float)
+        impact = idf[term] * c * (k1 + 1) / (c + k1 * (1 - b + b * lengths[self.at] / mean))
+        total = np.bincount(self.at, impact, len(words)) * np.minimum(1, COVERED / np.maximum(1, lengths))
+        impact = impact / total[self.at]
+        strength = np.zeros(self.terms)
+        np.maximum.at(strength, term, impact)
+        weakest = np.argsort(strength, kind="stable")  # terms are numbered from the weakest up
+        rank = np.argsort(weakest)
+        self.ids = {w: int(i) for w, i in zip(self.ids, rank, strict=True)}
+        by = np.lexsort((self.at, rank[term]))
+        term, self.at, self.impact = rank[term][by], self.at[by], impact[by]
+        self.term_max = np.append(strength[weakest], 0.0)
+        self.first = np.searchsorted(term, np.arange(self.terms + 2))  # the last term is that of all other words
+        self.blocks = max(1, -(-len(words) // block))
+        self.block_key, begin = np.unique(term * self.blocks + self.at // block, return_index=True)
+        self.block_max = np.maximum.reduceat(self.impact, begin) if len(begin) else np.zeros(0)
+        self.block_first = np.searchsorted(self.block_key, np.arange(self.terms + 2) * self.blocks)
+        self.known: dict[int, tuple[set, set]] = {}
+
+    def halves(self, item: int) -> tuple[set, set]:
+        """The n-grams of an item's question and of its answer."""
+        if item not in self.known:
+            if len(self.known) > KNOWN_ITEMS:
+                self.known.clear()
+            question, answer = question_and_answer(self.items[item][1])
+            self.known[item] = ngrams(question, self.n), ngrams(answer, self.n)
+        return self.known[item]
+
+    def maxima(self, terms: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The maximum of each term in each block, 0 where a block has no such term."""
+        if not len(self.block_key):
+            return np.zeros(len(terms))
+        key = terms * self.blocks + blocks
+        place = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        return np.where(self.block_key[place] == key, self.block_max[place], 0.0)
+
+    def candidates(self, begin: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) that can reach the threshold; the terms of passage i begin at begin[i] and ascend."""
+        n = _ends(begin, len(term)) - begin
+        passage = np.repeat(np.arange(len(begin)), n)
+        total = np.cumsum(self.term_max[term])
+        total -= np.repeat(np.concatenate([[0], total])[begin], n)
+        strong = total >= LIGHT * threshold - SLACK  # from the weakest term up
+        weak = np.bincount(passage, np.where(strong, 0, self.term_max[term]), len(begin))
+        light = np.bincount(passage[~strong], minlength=len(begin))
+        chosen = np.flatnonzero(strong)
+        first, count = self.block_first[term[chosen]], np.diff(self.block_first)[term[chosen]]
+        start = np.flatnonzero(np.diff(passage[chosen], prepend=-1))
+        looked = (np.cumsum(count) - count)[start] + np.arange(len(start)) * self.blocks
+        low = start[np.flatnonzero(np.diff(looked // EXPANDED, prepend=-1))]
+        found_p, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(low, _ends(low, len(chosen)), strict=True):  # whole passages, about EXPANDED blocks at a time
+            f, c, own = first[low:high], count[low:high], passage[chosen[low:high]]
+            place = np.repeat(f - np.cumsum(c) + c, c) + np.arange(c.sum())
+            key = np.repeat((own - own[0]) * self.blocks, c) + self.block_key[place] % self.blocks
+            bounds = np.bincount(key, self.block_max[place], (own[-1] - own[0] + 1) * self.blocks).reshape(-1, self.blocks)
+            p, b = np.nonzero(bounds >= (threshold - SLACK - weak[own[0] : own[-1] + 1])[:, None])
+            bound, p = bounds[p, b], p + own[0]
+            owner = np.repeat(np.arange(len(p)), light[p])  # a passage's weak terms come first
+            place = np.repeat(begin[p] - np.cumsum(light[p]) + light[p], light[p]) + np.arange(light[p].sum())
+            fine = bound + np.bincount(owner, self.maxima(term[place], b[owner]), len(p)) >= threshold - SLACK
+            found_p.append(p[fine])
+            found_b.append(b[fine])
+        return np.concatenate(found_p), np.concatenate(found_b)
 
     def search(self, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items of these blocks that score at least threshold, by block-max WAND over the terms' postings."""
-        slack, found = 1e-6, []
+        found = []
         for block in blocks:
             low, high = int(block) * self.block, (int(block) + 1) * self.block
+            bounds = self.maxima(terms, np.full(len(terms), block))
             cursors = []
-            for t in terms:
-                bound = float(self.maxima[t, block])
-                if bound > 0:
-                    at, impacts = self.postings[t]
-                    own = [(i, x) for i, x in zip(at, impacts, strict=True) if low <= i < high] if len(at) < 64 else self._slice(t, low, high)
-                    cursors.append([own, 0, bound])
+            for t, bound in zip(terms[bounds > 0].tolist(), bounds[bounds > 0].tolist(), strict=True):
+                a, b = self.first[t], self.first[t + 1]
+                c, d = np.searchsorted(self.at[a:b], [low, high]) + a
+                cursors.append([list(zip(self.at[c:d].tolist(), self.impact[c:d].tolist(), strict=True)), 0, bound])
             while cursors:
                 cursors.sort(key=lambda c: c[0][c[1]][0])
                 bound, pivot = 0.0, None
                 for c in cursors:
                     bound += c[2]
-                    if bound >= threshold - slack:
+                    if bound >= threshold - SLACK:
                         pivot = c[0][c[1]][0]
                         break
                 if pivot is None:
                     break
                 if cursors[0][0][cursors[0][1]][0] == pivot:
                     score = sum(c[0][c[1]][1] for c in cursors if c[0][c[1]][0] == pivot)
-                    if score >= threshold - slack:
+                    if score >= threshold - SLACK:
                         found.append((pivot, score))
                     for c in cursors:
                         c[1] += c[0][c[1]][0] == pivot
@@ -139,11 +196,6 @@ class BlockMaxIndex:
                 cursors = [c for c in cursors if c[1] < len(c[0])]
         return found
 
-    def _slice(self, t: int, low: int, high: int) -> list[tuple[int, float]]:
-        at, impacts = self.postings[t]
-        a, b = np.searchsorted(at, [low, high])
-        return list(zip(at[a:b], impacts[a:b], strict=True))
-
 
 class Asker:
     """Asks an index with all passages of batches of documents."""
@@ -205,14 +257,15 @@ class Asker:
             return {}
         passage, term = keys // terms, keys % terms
         begin = np.flatnonzero(np.diff(passage, prepend=-1))
-        bounds = np.add.reduceat(self.index.maxima[term], begin, axis=0)
-        possible = bounds >= self.threshold - 1e-5
         found: dict[int, list[tuple[int, int, float]]] = {}
-        ends = np.append(begin[1:], len(term))
-        for at in np.flatnonzero(possible.any(1)):
-            p = int(passage[begin[at]])
+        ends = _ends(begin, len(term))
+        at, block = self.index.candidates(begin, term, self.threshold)
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        for low, high in zip(cuts, _ends(cuts, len(at)), strict=True):
+            own = slice(begin[at[low]], ends[at[low]])
+            p = int(passage[begin[at[low]]])
             d = int(np.searchsorted(first, p, side="right")) - 1
-            for item, score in self.index.search(term[begin[at] : ends[at]], np.flatnonzero(possible[at]), self.threshold):
+            for item, score in self.index.search(term[own], block[low:high], self.threshold):
                 found.setdefault(d, []).append((p - int(first[d]), item, score))
         return found
 
@@ -221,7 +274,7 @@ class Asker:
         for p, item, score in found:
             reach = self.index.lengths[item]
             around = ngrams(words[max(0, p * STRIDE - reach) : p * STRIDE + WINDOW + reach], self.index.n)
-            question, answer = self.index.halves[item]
+            question, answer = self.index.halves(item)
             n = self.index.n
             share = [
                 1.0 if not part else sum(g in around or (len(g) < n and any(h[:len(g)] == g or h[-len(g):] == g for h in around)) for g in part) / len(part)

@@ -163,19 +163,48 @@ def test_scores_do_not_depend_on_the_number_of_indexes(spark, bench):
     assert one and many == pytest.approx(one, abs=1e-6)
 
 
-def test_wand_finds_what_full_scores_find(bench, words):
+def test_wand_finds_what_full_scores_find(bench, words, monkeypatch):
     index = BlockMaxIndex([x for x in bench[0] if x[0] is not None and x[1]], block=4)
     rng = random.Random(13)
-    blocks = np.arange(index.maxima.shape[1])
+    blocks = np.arange(index.blocks)
+    asked, fulls = [], []
     for _ in range(200):
         chosen = rng.sample(range(index.terms), 25)
         terms = np.array(sorted({*chosen, *(index.ids[w] for w in words_of(rng.choice(index.items)[1])[: rng.randint(0, 30)])}))
         full = {}
         for t in terms:
-            for i, x in zip(*index.postings[t], strict=True):
-                full[i] = full.get(i, 0) + x
+            for i in range(index.first[t], index.first[t + 1]):
+                full[int(index.at[i])] = full.get(int(index.at[i]), 0) + index.impact[i]
         for threshold in (0.3, 0.6):
             assert dict(index.search(terms, blocks, threshold)).keys() == {i for i, s in full.items() if s >= threshold}
+        asked.append(terms)
+        fulls.append(full)
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in asked])[:-1]])
+    for threshold, expanded in ((0.3, 500_000), (0.6, 500_000), (0.3, 40)):  # candidates of a batch are those of each passage
+        monkeypatch.setattr("helixframe.llm.decontaminate.EXPANDED", expanded)
+        passage, block = index.candidates(begin, np.concatenate(asked), threshold)
+        found = {(int(p), i) for p, b in zip(passage, block, strict=True) for i, _ in index.search(asked[p], [b], threshold)}
+        assert len(set(zip(passage.tolist(), block.tolist(), strict=True))) == len(passage) < 0.9 * len(asked) * index.blocks
+        assert found == {(p, i) for p, full in enumerate(fulls) for i, s in full.items() if s >= threshold}
+
+
+def test_an_index_grows_with_its_text():
+    rng = random.Random(3)
+    sizes = []
+    for n in (200, 400, 800):
+        index = BlockMaxIndex([(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 20_000}" for _ in range(40))) for i in range(n)])
+        sizes.append(sum(a.nbytes for a in vars(index).values() if isinstance(a, np.ndarray)))
+    assert sizes[2] < 4.2 * sizes[0]
+
+
+def test_leaks_of_very_long_texts_and_ties(spark, bench, words):
+    items, table = bench
+    rng = random.Random(15)
+    long = " ".join(rng.choice(words) for _ in range(60_000)) + " " + items[4][1] + " " + " ".join(rng.choice(words) for _ in range(60_000))
+    twice = spark.createDataFrame([*items[:8], (50, items[4][1]), (4, items[4][1])], "item_id long, text string")  # equal items tie
+    found = find_leaks(spark.createDataFrame([(1, long), (1, long), (2, items[4][1])], "doc_id long, text string"), twice).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted([(d, i) for d in (1, 1, 2) for i in (4, 4, 50)])
+    assert len({round(r["score"], 9) for r in found if r["doc_id"] == 2}) == 1
 
 
 def test_questions_and_answers():
