@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -13,7 +14,7 @@ from helixframe.llm.packing import best_fit, pack
 from helixframe.llm.quality import fit_quality, held_out, keep_quality, score_quality
 from helixframe.llm.sharding import shard_by_splitters
 from helixframe.llm.tokens import TokenCounter, default_path, token_counts
-from helixframe.llm.urls import Rule, judge_urls
+from helixframe.llm.urls import ALPHABET, Rule, _symbols, judge_urls
 from helixframe.llm.warc import parse_records, read_archives, round_trip, write_archives
 
 # Sharding
@@ -339,6 +340,61 @@ def test_urls(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
+def plain_ratio(counted, scored, order=3, weight=4.0, alphabet=ALPHABET):
+    """The mean log ratio of each url, counted and smoothed without Spark; counted are (url, verdict)."""
+    ends = lambda u: "^" * order + u.lower() + "^"
+    tally = {"allow": {}, "block": {}}
+    for u, v in counted:
+        for n in range(order + 1):
+            for i in range(order, len(ends(u))):
+                g = ends(u)[i - n : i + 1]
+                tally[v][g] = tally[v].get(g, 0) + 1
+
+    def p(v, g):
+        context = sum(c for h, c in tally[v].items() if len(h) == len(g) and h[:-1] == g[:-1])
+        if len(g) == 1:
+            return (tally[v].get(g, 0) + 1) / (context + alphabet)
+        return (tally[v].get(g, 0) + weight * p(v, g[1:])) / (context + weight)
+
+    grams = lambda u: [ends(u)[i : i + order + 1] for i in range(len(ends(u)) - order)]
+    return {u: sum(math.log(p("allow", g) / p("block", g)) for g in grams(u)) / len(grams(u)) for u in scored}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_ratios_equal_plain_counts(spark, monkeypatch, rows):
+    """Scores over the whole url, from urls outside the fold alone; the model broadcast and shuffled."""
+    monkeypatch.setattr("helixframe.llm.urls.MODEL_ROWS", rows)
+    rng = random.Random(8)
+    ruled = [f"http://{rng.choice('abc')}{rng.choice('xy')}.{rng.choice(['net/', 'org/fr/'])}{rng.randint(1, 9)}?q={rng.choice('mn')}" for _ in range(60)]
+    free = [f"http://ab.com/{i}?q={'mn'[i % 2]}#t" for i in range(6)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate([*ruled, *free, *free[:2]])], "page_id long, url string")
+    rows = judge_urls(frame, RULES).collect()
+    fold = {r["url"] for r in frame.withColumn("s", _symbols(F.col("url"))).where(F.pmod(F.xxhash64("s"), F.lit(5)) == 0).collect()}
+    verdict = lambda u: "block" if ".net/" in u else "allow"
+    assert {verdict(u) for u in ruled if u in fold} == {"allow", "block"}
+    want = plain_ratio([(u, verdict(u)) for u in ruled if u not in fold], [*ruled, *free])
+    urls = [*ruled, *free, *free[:2]]
+    assert all(r["score"] == pytest.approx(want[urls[r["page_id"]]], abs=2e-6) for r in rows)
+    assert want[free[0]] != pytest.approx(want[free[1]], abs=1e-3)
+
+
+def test_odd_urls(spark):
+    long = "http://a.com/" + "xyz/" * 50_000
+    rows = [(None, "http://a.net/"), (None, None), (1, long), (2, "http://日本.org/fr/é?Ω"), (3, "http://a.org/fr/1"), (4, "http://b.net/2"), (4, "http://b.net/2")]
+    found = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    assert len(found) == len(rows) and all(r["score"] is not None for r in found)
+    by = {r["page_id"]: r for r in found if r["page_id"] is not None}
+    assert by[1]["path"] == long[12:] and by[2]["rule"] == "org/fr/" and by[4]["verdict"] == "block"
+    shown = spark.createDataFrame([("AZ[é]ЯΩעא日😀 ~%",)], "u string").select(_symbols(F.col("u")).alias("s")).first()["s"]
+    assert shown == "^^^az!é!яяعع字字!~%^"
+
+
+def test_a_third_of_the_rows_have_one_url(spark):
+    urls = [f"http://h{i}.{'net' if i % 2 else 'org'}/fr/{i}" for i in range(200)] + ["http://hot.com/x"] * 100
+    found = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4), RULES).collect()
+    assert len(found) == 300 and len({r["verdict"] for r in found if r["host"] == "hot.com"}) == 1
+
+
 def test_the_model_tells_urls_apart(spark):
     rng = random.Random(6)
     good, bad = ["garden", "history", "music"], ["casino", "xxwin", "pillz"]
