@@ -250,6 +250,63 @@ def test_best_fit_takes_the_fullest_bin():
     assert best_fit(np.array([], np.int64), (4,), 0)[2].tolist() == []
 
 
+def plain_best_fit(lengths, capacities, overhead, square):
+    """(capacity opened, contents) of each bin, by looking at every bin and every length."""
+    bins, todo = [], sorted(lengths, reverse=True)
+    cost = lambda c: c + overhead + c * c / square
+    while todo:
+        n, *todo = todo
+        fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fits:
+            best = min(reversed(fits), key=lambda b: b[0] - sum(b[1]))  # of equal ones the last touched
+            bins = [b for b in bins if b is not best] + [best]
+            best[1].append(n)
+            continue
+
+        def fill(c, n=n):
+            left = c - n
+            for x in todo:
+                left -= x if x <= left else 0
+            return c - left
+
+        bins.append((min((c for c in capacities if c >= n), key=lambda c: (cost(c) / fill(c), c)), [n]))
+    return sorted((min(c for c in capacities if c >= sum(own)), sorted(own)) for _, own in bins)
+
+
+def test_best_fit_equals_plain_search():
+    rng = np.random.default_rng(5)
+    for sizes, high in (((16, 32, 64), 64), ((16, 32, 64), 20), ((50,), 50), ((8, 64), 40)):
+        for _ in range(20):
+            lengths = rng.integers(1, high + 1, rng.integers(1, 60))
+            bins, offsets, capacity = best_fit(lengths, sizes, 3, 100)
+            own = [(int(capacity[bins == b][0]), sorted(lengths[bins == b].tolist())) for b in np.unique(bins)]
+            want = plain_best_fit(lengths.tolist(), sizes, 3, 100)
+            assert sorted(own) == want
+
+
+def test_several_sizes_are_opened_for_less_cost():
+    lengths = np.concatenate([np.random.default_rng(3).integers(1, high, 1500) for high in (2000, 16384)])
+    sizes, spent = (2048, 4096, 8192, 16384), {}
+    for own in (sizes, (16384,)):
+        bins, _, capacity = best_fit(lengths, own, 16, 65_536)
+        each = capacity[np.unique(bins, return_index=True)[1]]
+        spent[own] = sum(c + 16 + c * c / 65_536 for c in each.tolist())
+        if own == sizes:
+            assert all((each == c).sum() >= 20 for c in (2048, 8192, 16384)) and lengths.sum() >= 0.95 * each.sum()
+    assert spent[sizes] < 0.95 * spent[16384,]
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    rows = [(None, "same text")] * 400 + [(i, "x" * (i % 50)) for i in range(800)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, text string"), capacities=(64, 128), group_units=3000, group_rows=150).collect()
+    groups = {}
+    for r in found:
+        if r["length"]:
+            groups.setdefault(r["bin_id"] >> 32, []).append(r["doc_id"])
+    assert len(found) == len(rows) and len(groups) >= 8
+    assert all(10 < sum(i is None for i in own) < 100 and len(own) < 300 for own in groups.values())
+
+
 # Neighbours
 
 
