@@ -15,7 +15,7 @@ from helixframe.llm.quality import fit_quality, held_out, keep_quality, score_qu
 from helixframe.llm.sharding import shard_by_splitters
 from helixframe.llm.tokens import TokenCounter, default_path, token_counts
 from helixframe.llm.urls import ALPHABET, Rule, _symbols, judge_urls
-from helixframe.llm.warc import parse_records, read_archives, round_trip, write_archives
+from helixframe.llm.warc import EMPTY_MEMBER, inflated, parse_records, read_archives, round_trip, write_archives
 
 # Sharding
 
@@ -361,12 +361,53 @@ def test_records_are_read_by_length(spark, tmp_path):
 
     frame = spark.createDataFrame([(1, "http://x/", "tricky\r\n\r\n\r\n\r\nWARC/1.1"), (2, "http://y/", "")], "page_id long, url string, html string")
     write_archives(frame, f"file://{tmp_path}/w", date="2024-01-01T00:00:00Z")
-    found = [x for p in glob.glob(f"{tmp_path}/w/*.gz") for x in parse_records(gzip.open(p).read())]
+    found = [x for p in glob.glob(f"{tmp_path}/w/part-*") for x in parse_records([gzip.open(p).read()])]
     assert sorted(h["warc-target-uri"] for h, _ in found) == ["http://x/", "http://y/"]
     assert all(h["warc-date"] == "2024-01-01T00:00:00Z" and h["warc-record-id"].startswith("<urn:uuid:") for h, _ in found)
     assert read_archives(spark, f"file://{tmp_path}/w").count() == 2
 
 
+def test_each_record_is_a_member_and_files_are_bounded(spark, tmp_path):
+    import glob
+    import gzip
+
+    rng = random.Random(2)
+    html = ["".join(rng.choice("abcdefgh é<>") for _ in range(n)) for n in (0, 5, 300, 3000, 40_000, 200_000) * 20]
+    frame = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(2)
+    write_archives(frame, f"file://{tmp_path}/w", file_bytes=100_000)
+    files = glob.glob(f"{tmp_path}/w/part-*")
+    assert len(files) > 10
+    seen = 0
+    for path in files:
+        data = open(path, "rb").read()
+        sizes = []
+        while data:
+            member = zlib.decompressobj(31)
+            own = list(parse_records([member.decompress(data)]))
+            assert len(own) == bool(len(member.unused_data))  # the last one is empty
+            sizes.append(len(data) - len(member.unused_data))
+            data, seen = member.unused_data, seen + len(own)
+        assert sum(sizes[:-2]) < 100_000 and sizes[-1] == len(EMPTY_MEMBER)
+        whole = gzip.open(path).read()
+        for step in (1, 7, 1000):
+            if len(whole) < 50_000:
+                assert len(list(parse_records(whole[i : i + step] for i in range(0, len(whole), step)))) == len(sizes) - 1
+        assert b"".join(inflated(open(path, "rb").read())) == whole
+    assert seen == len(html)
+    with pytest.raises(ValueError):
+        list(parse_records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"]))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_a_payload_of_a_third_of_all_pages(spark, monkeypatch, most):
+    monkeypatch.setattr("helixframe.llm.warc.BROADCAST_IDS", most)
+    rows = [(i, "u", "" if i % 3 else None) if i < 200 else (i, "u", f"page {i // 2}") for i in range(600)]
+    found = {r["page_id"]: r for r in round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(found) == 600
+    assert all(found[i]["refers_to"] == (0 if i else None) for i in range(200))
+    assert all(found[i]["refers_to"] == (i - 1 if i % 2 else None) for i in range(200, 600))
+
+
 # URLs
 
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
