@@ -1,7 +1,7 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-Records are ordered by (key, doc_id), the key being 60 bits of the text's MD5, so equal texts are neighbours. A
-size-weighted sample of that order gives quantile boundaries; records are range-partitioned by them, and ranges that
+Records are ordered by (key, doc_id, row), the key being 60 bits of the text's MD5, so equal texts are neighbours, and
+row a number of their own, so that no two are equal. A size-weighted sample of that order gives quantile boundaries; records are range-partitioned by them, and ranges that
 turn out overfull are sampled again and subdivided. The exact sizes of all ranges, summed up in order, then place each
 record by its offset in the whole order, so the shards do not depend on which keys were drawn.
 """
@@ -25,27 +25,28 @@ def _uniform(*cols: str, salt: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(salt)), 11) / F.lit(float(2**53))
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
-    """How many splitters are at or before (key, doc_id): a binary search in two literal arrays."""
+def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
+    """How many splitters are at or before (key, order_id, row): a binary search in three literal arrays."""
     depth = max(1, len(splitters).bit_length())
-    padded = splitters + [(LAST, LAST)] * (2**depth - 1 - len(splitters))
-    keys, ids = F.lit([k for k, _ in padded]), F.lit([d for _, d in padded])
+    padded = splitters + [(LAST, LAST, LAST)] * (2**depth - 1 - len(splitters))
+    keys, ids, rows = (F.lit([p[i] for p in padded]) for i in range(3))
     steps = F.lit([2**i for i in reversed(range(depth))])
 
     def step(at: Column, by: Column) -> Column:
-        k, d = F.get(keys, at + by - 1), F.get(ids, at + by - 1)
-        return F.when((k < F.col("key")) | ((k == F.col("key")) & (d <= F.col("order_id"))), at + by).otherwise(at)
+        k, d, r = (F.get(a, at + by - 1) for a in (keys, ids, rows))
+        same = (k == F.col("key")) & ((d < F.col("order_id")) | ((d == F.col("order_id")) & (r <= F.col("row"))))
+        return F.when((k < F.col("key")) | same, at + by).otherwise(at)
 
     return F.aggregate(steps, F.lit(0), step)
 
 
-def _quantiles(sample: list, ranges: int) -> list[tuple[int, int]]:
-    """The boundaries of about equal weight in a sample of rows (key, order_id, weight)."""
-    rows = sorted((r["key"], r["order_id"], r["weight"]) for r in sample)
-    target, found, done = sum(w for _, _, w in rows) / max(1, ranges), [], 0
-    for k, d, w in rows:
+def _quantiles(sample: list, ranges: int) -> list[tuple[int, int, int]]:
+    """The boundaries of about equal weight in a sample of rows (key, order_id, row, weight)."""
+    rows = sorted((r["key"], r["order_id"], r["row"], r["weight"]) for r in sample)
+    target, found, done = sum(r[3] for r in rows) / max(1, ranges), [], 0
+    for *at, w in rows:
         if done // target != (done + w) // target and done:
-            found.append((k, d))
+            found.append(tuple(at))
         done += w
     return sorted(set(found))
 
@@ -64,10 +65,10 @@ def shard_by_splitters(
 
     size is the text's UTF-8 bytes plus 16. A group of equal texts stays in one shard unless it holds more than
     group_tolerance of a shard's share; larger groups are subdivided by id. Sizes differ from the mean by that
-    tolerance and one record at most. slot numbers a shard's rows from 0 without gaps, in the order of (key, id).
+    tolerance and one record at most. slot numbers a shard's rows from 0 without gaps, in the order of (key, id, row).
 
-    Driver memory is bounded by max_ranges * sample_per_range sampled keys; the sample only draws boundaries, all rows
-    are counted and placed. A null text counts as empty; a null id sorts first; repeated rows each get a slot of their
+    Driver memory is bounded by about max_ranges * sample_per_range sampled keys at a time; the sample only draws
+    boundaries, all rows are counted and placed. A null text counts as empty; a null id sorts first; repeated rows each get a slot of their
     own; an empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
@@ -79,6 +80,7 @@ def shard_by_splitters(
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("order_id"),
+            F.monotonically_increasing_id().alias("row"),  # stays as it is, since it is stored
         ),
         "shard-base",
     )
@@ -91,8 +93,8 @@ def shard_by_splitters(
     ranges = min(max_ranges, max(16 * shards, rows // rows_per_range))
     per_key = total / (ranges * sample_per_range)
     sample = (
-        base.where(_uniform("doc_id", "key", salt=1) * per_key < F.col("size"))
-        .select("key", "order_id", F.greatest(F.col("size").cast("double"), F.lit(per_key)).alias("weight"))
+        base.where(_uniform("row", "key", salt=1) * per_key < F.col("size"))
+        .select("key", "order_id", "row", F.greatest(F.col("size").cast("double"), F.lit(per_key)).alias("weight"))
         .collect()
     )
     splitters = _quantiles(sample, ranges)
@@ -100,18 +102,19 @@ def shard_by_splitters(
         full = (
             base.withColumn("range", _range_of(splitters))
             .groupBy("range")
-            .agg(F.sum("size").alias("bytes"), F.count_distinct("key", "order_id").alias("keys"))
-            .where((F.col("bytes") > 2 * total / ranges) & (F.col("keys") > 1))
+            .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+            .where((F.col("bytes") > 2 * total / ranges) & (F.col("rows") > 1))
             .select("range", "bytes")
         )
         over = {r["range"]: r["bytes"] for r in full.collect()}
         if not over:
             break
+        each = sum(over.values()) / (ranges * sample_per_range)  # as many sampled keys as at first, now of these ranges alone
         more = (
             base.withColumn("range", _range_of(splitters))
             .where(F.col("range").isin(*over))
-            .where(_uniform("doc_id", "key", salt=again) * per_key / 4**again < F.col("size"))
-            .select("range", "key", "order_id", F.greatest(F.col("size").cast("double"), F.lit(per_key / 4**again)).alias("weight"))
+            .where(_uniform("row", "key", salt=again) * each < F.col("size"))
+            .select("range", "key", "order_id", "row", F.greatest(F.col("size").cast("double"), F.lit(each)).alias("weight"))
         )
         drawn: dict[int, list] = {}
         for r in more.collect():
@@ -121,7 +124,7 @@ def shard_by_splitters(
         splitters = sorted(set(splitters))
 
     tolerance = group_tolerance * total / shards
-    cut = spark.createDataFrame([(k,) for k in {k for k, _ in splitters}], "key long")
+    cut = spark.createDataFrame([(k,) for k in {k for k, *_ in splitters}], "key long")
     large = {
         r["key"]
         for r in base.join(F.broadcast(cut), "key", "left_semi")
@@ -130,9 +133,9 @@ def shard_by_splitters(
         .where(F.col("bytes") > tolerance)
         .collect()
     }
-    splitters = sorted({(k, d if k in large else FIRST) for k, d in splitters})
+    splitters = sorted({p if p[0] in large else (p[0], FIRST, FIRST) for p in splitters})
 
-    order = Window.partitionBy("range").orderBy("key", "order_id")
+    order = Window.partitionBy("range").orderBy("key", "order_id", "row")
     group = Window.partitionBy("range", "key")
     ranged = base.withColumn("range", _range_of(splitters))
     sums = {r["range"]: r["bytes"] for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect()}
@@ -143,7 +146,7 @@ def shard_by_splitters(
         .withColumn("at", F.when(large_group, F.col("before")).otherwise(F.min("before").over(group)))
         .withColumn("offset", F.get(F.lit(starts), F.col("range")) + F.col("at"))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("offset") * shards / F.lit(total))).cast("int"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "order_id")))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("range", "shard").orderBy("key", "order_id", "row")))
         .select("doc_id", "size", "text_crc32", "range", "shard", "nth")
     )
     placed = stored(placed, "shard-placed")

@@ -44,6 +44,28 @@ def test_a_hot_text_is_subdivided(spark):
     assert len(sizes) == 40 and max(sizes) <= 1.1 * sum(sizes) / 40
 
 
+def test_equal_rows_of_a_third_of_the_table_are_subdivided(spark):
+    rows = [(None, "same text of a third of all rows")] * 1000 + [(7, "again and again")] * 500 + [(i, f"text {i} " * (i % 7)) for i in range(1500)]
+    found = shard_by_splitters(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    size, slots = {}, {}
+    for r in found:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(found) == 3000 and len(size) == 40 and max(size.values()) <= 1.1 * sum(size.values()) / 40
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_follow_the_order_of_keys(spark, docs):
+    """The shard of a row is where its offset in the order of all rows lies, whichever splitters were drawn."""
+    rows = [(i, "".join(random.Random(i).choices("abcdef ", k=i % 90))) for i in range(800)]
+    found = {r["doc_id"]: r["shard"] for r in shard_by_splitters(spark.createDataFrame(rows, "doc_id long, text string"), 10, group_tolerance=1.0).collect()}
+    ordered, total, at, groups = sorted((int(hashlib.md5(t.encode()).hexdigest()[:15], 16), i, len(t) + 16) for i, t in rows), sum(len(t) + 16 for _, t in rows), 0, {}
+    for key, i, size in ordered:
+        groups.setdefault(key, at)
+        assert found[i] == min(9, groups[key] * 10 // total)
+        at += size
+
+
 def test_no_shards_for_no_rows(none):
     assert shard_by_splitters(none, 4).count() == 0
 
