@@ -2,7 +2,7 @@
 
 Every vector gets one long bit string per tree; a bit says on which side of a random hyperplane, through the median of
 a sample, it lies. Rows are indexed in segments of bounded size; a segment keeps each tree as a sorted array of its
-strings. A query descends to the longest prefixes that any tree matches, then ascends in all trees at once, a bit at a
+strings, is built once, and answers all queries, which come to it a batch at a time. A query descends to the longest prefixes that any tree matches, then ascends in all trees at once, a bit at a
 time, until the ranges of that prefix length hold enough entries. All candidates are ranked by exact distance, and the
 results of all segments are merged. How many entries are enough is measured: the least for which a bounded sample
 reaches the wanted recall against brute force.
@@ -10,14 +10,17 @@ reaches the wanted recall against brute force.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from helixframe.session import stored
+
 BITS = 32
 
 
@@ -121,13 +124,13 @@ def nearest(
     wanted_recall: float = 0.97,
     sample_rows: int = 8192,
     segment_rows: int = 32_768,
-    query_rows: int = 8_192,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found (Euclidean) of each row whose vec_id `every` divides.
 
     rows has vec_id and embedding. Every valid row is indexed and is a candidate for all queries but its own id. Rows
     with a null id, and vectors that are null, zero, of another than the commonest dimension or hold a null or a
-    non-finite component, take no part. Of rows with one id the least vector counts. Hyperplanes and the number of
+    non-finite component, take no part. Of rows with one id the least vector counts; they meet before any is indexed.
+    Hyperplanes and the number of
     candidates are fitted on sample_rows rows at most. A query with fewer candidates than k gets all of them; an empty
     table gives no rows.
     """
@@ -139,46 +142,45 @@ def nearest(
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    sizes = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    counts = (F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids"))
+    sizes = fine.groupBy(F.size("v").alias("d")).agg(*counts).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    fine = fine.where(F.size("v") == sizes[0]["d"])
-    n = sizes[0]["n"]
-    first = fine.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).toPandas()
+    d, n, ids = sizes[0]
+    fine = fine.where(F.size("v") == d)
+    if ids < n:
+        fine = stored(fine.groupBy("vec_id").agg(F.min("v").alias("v")), "neighbour-rows")
+    first = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     planes = fit_planes(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy()), k, trees, seed, wanted_recall)
-    segments, groups = -(-n // segment_rows), -(-n // (every * query_rows))
-    hashed = F.xxhash64("vec_id")
-    index = fine.withColumns({"segment": F.pmod(hashed, F.lit(segments)), "grp": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    asked = fine.where(F.col("vec_id") % every == 0).withColumns(
-        {"segment": F.explode(F.sequence(F.lit(0), F.lit(segments - 1))), "grp": F.pmod(hashed, F.lit(groups))}
-    )
-
-    def arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        ids, vectors = frame["vec_id"].to_numpy(), np.stack(frame["v"].to_numpy())
-        order = np.lexsort([*vectors.T[::-1], ids])
-        order = order[np.concatenate([[True], np.diff(ids[order]) != 0])]
-        return ids[order], vectors[order]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, vectors = arrays(right)
-        found = Segment(planes, *arrays(left)).search(ids, vectors, k)
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(ids, [len(a) for a, _ in found]),
-                "vec_id": np.concatenate([a for a, _ in found]),
-                "score": np.concatenate([d for _, d in found]),
-            }
-        )
-
-    keys = [F.col("grp").cast("int").alias("g"), F.col("segment").cast("int").alias("s")]
-    parts = (
-        index.select(*keys, "vec_id", "v")
-        .groupBy("g", "s")
-        .cogroup(asked.select(*keys, "vec_id", "v").groupBy("g", "s"))
-        .applyInPandas(search, "query_id long, vec_id long, score double")
-    )
+    segments = -(-ids // segment_rows)
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(segments)).cast("int")
+    index = fine.select(own.alias("segment"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = fine.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"), F.lit(1).alias("asks"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, segment = None, [], None
+        for b in batches:
+            numbers, asks, vec = (b.column(c).to_numpy() for c in ("segment", "asks", "vec_id"))
+            vectors = b.column("v").flatten().to_numpy().reshape(-1, d)
+            cuts = np.flatnonzero(np.diff(numbers * 2 + asks, prepend=-1)).tolist()
+            for low, high in zip(cuts, [*cuts[1:], len(vec)], strict=True):
+                if numbers[low] != now:
+                    now, held, segment = numbers[low], [], None
+                if not asks[low]:
+                    held.append((vec[low:high], vectors[low:high]))
+                    continue
+                if held and segment is None:  # all its rows are here: they come first
+                    rows = [np.concatenate([h[i] for h in held]) for i in (0, 1)]
+                    by = np.argsort(rows[0])
+                    segment = Segment(planes, rows[0][by], rows[1][by])
+                if segment is not None:
+                    found = segment.search(vec[low:high], vectors[low:high], k)
+                    sizes = [len(a) for a, _ in found]
+                    columns = [np.repeat(vec[low:high], sizes), np.concatenate([a for a, _ in found]), np.concatenate([x for _, x in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    dealt = index.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "asks")
+    parts = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
