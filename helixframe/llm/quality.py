@@ -95,21 +95,23 @@ def held_out(id_col: str | Column) -> Column:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, to_pooled: float = 0.2, to_identity: float = 0.05):
     """The model, learned from at most max_train_rows labelled rows outside the held-out fold (the first by a hash of
-    their ids, whose statistics alone go to the driver), or None if these don't hold both classes, twice at least."""
+    their ids, whose statistics alone go to the driver), or None if these don't hold both classes, twice at least. An id
+    that has several documents or labels gives a row for each pair; of all these, too, max_train_rows are taken."""
     train = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
         .select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("label_id", "quality"), "label_id")
         .limit(max_train_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(train), F.col("doc_id") == F.col("label_id")).select("quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(train), F.col("doc_id") == F.col("label_id")).select("label_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = pa.array([text_statistics(x.as_py()) for x in b.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), stats], names=["quality", "stats"])
+            stats = pa.array([text_statistics(x.as_py()) for x in b.column(2)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), stats], names=["label_id", "quality", "stats"])
 
-    found = rows.mapInArrow(run, "quality int, stats array<double>").toPandas()
+    seen = rows.mapInArrow(run, "label_id long, quality int, stats array<double>")
+    found = seen.orderBy(F.xxhash64("label_id", "quality"), "label_id", "quality", "stats").limit(max_train_rows).toPandas()
     y = found["quality"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.decontaminate import BlockMaxIndex, find_leaks, question_and_answer, without_leaks, words_of
 from helixframe.llm.neighbours import brute_force, nearest, recall
 from helixframe.llm.packing import best_fit, pack
-from helixframe.llm.quality import fit_quality, held_out, keep_quality, score_quality
+from helixframe.llm.quality import Discriminant, fit_quality, held_out, keep_quality, score_quality, text_statistics
 from helixframe.llm.sharding import shard_by_splitters
 from helixframe.llm.tokens import TokenCounter, default_path, token_counts
 from helixframe.llm.urls import ALPHABET, Rule, _symbols, judge_urls
@@ -140,6 +140,33 @@ def test_quality_of_odd_rows(labelled, docs, corpus, none):
     assert {r["score"] for r in score_quality(docs, None).collect()} == {1.0}
 
 
+def test_scores_are_those_of_two_gaussians(labelled):
+    """The score from inverses and determinants instead of the cached factors."""
+    docs, labels = labelled
+    model = fit_quality(docs, labels)
+    stats = np.array([text_statistics(r["text"]) for r in docs.limit(50).collect()] + [text_statistics(t) for t in (None, "", "x", "A " * 400_000)])
+    z = (Discriminant.odds(stats, model.rates) - model.centre) / model.spread
+    rows = np.array([text_statistics(r["text"]) for r in docs.join(labels.where(~held_out("doc_id") & F.col("quality").isNotNull()), "doc_id").orderBy("doc_id").collect()])
+    y = np.array([r["quality"] for r in labels.join(docs, "doc_id").where(~held_out("doc_id") & F.col("quality").isNotNull()).orderBy("doc_id").collect()])
+    x = (Discriminant.odds(rows, model.rates) - model.centre) / model.spread
+    pooled, density = np.cov(x.T, bias=True), []
+    for k in (0, 1):
+        own = x[y == k]
+        cov = 0.8 * np.cov(own.T, bias=True) + 0.2 * pooled
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov)) + 1e-9 * np.eye(len(cov))
+        d = z - own.mean(0)
+        density.append(np.log(len(own) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert model.score(stats) == pytest.approx(1 / (1 + np.exp(density[0] - density[1])), abs=1e-9)
+
+
+def test_an_id_with_very_many_documents(spark, labelled):
+    docs, labels = labelled
+    again = docs.unionByName(spark.createDataFrame([(1, "some words again")] * 900, docs.schema))
+    model = fit_quality(again, labels, max_train_rows=300)
+    assert model is not None
+    assert fit_quality(again, labels, max_train_rows=300).means == pytest.approx(model.means)
+
+
 def test_fit_uses_a_bounded_sample_outside_the_fold(labelled):
     docs, labels = labelled
     assert np.array_equal(fit_quality(docs, labels).means, fit_quality(docs, labels.where(~held_out("doc_id"))).means)
@@ -339,7 +366,7 @@ def test_nearest(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] + [1.0] * 15), (5300, [1.0] * 3), (None, [1.0] * 16), (5400, [None] + [1.0] * 15), (0, x[0].tolist())]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int").repartition(4)
-    found = nearest(frame, segment_rows=700, query_rows=8).toPandas().sort_values(["query_id", "rank"])
+    found = nearest(frame, segment_rows=700).toPandas().sort_values(["query_id", "rank"])
     ids, wide = np.arange(3000), x.astype(float)
     asked = ids[::100]
     truth = brute_force(ids, wide, asked, wide[asked], 10)
@@ -351,6 +378,19 @@ def test_nearest(spark):
     assert nearest(frame.where("vec_id < 4")).count() == 3 and nearest(frame.where("1 = 0")).count() == 0
 
 
+def test_an_id_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, (x[100] + 1).tolist())] * 450
+    least = min([x[100].tolist(), (x[100] + 1).tolist()])
+    x[100] = least
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), segment_rows=200).collect()
+    ids, truth = np.arange(900), brute_force(np.arange(900), x, np.arange(0, 900, 100), x[::100], 10)
+    assert len(found) == 90 and ids[100] in {r["query_id"] for r in found}
+    own = [[r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(0, 900, 100)]
+    assert recall([np.array(o) for o in own], truth) >= 0.95
+
+
 # Archives
 
 
