@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from helixframe.session import stored
 
 BITS = 32
+#: So many vectors get their strings at a time.
+ROWS = 1024
 
 
 @dataclass
@@ -40,8 +42,12 @@ class Planes:
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
         """One unsigned number of BITS bits for each tree (rows) and vector (columns)."""
-        bits = (vectors @ self.normals > self.cuts).reshape(len(vectors), self.trees, BITS)
-        return (bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).T
+        found = np.zeros((self.trees, len(vectors)), np.int64)
+        for at in range(0, len(vectors), ROWS):
+            some = vectors[at : at + ROWS]
+            bits = (some @ self.normals > self.cuts).reshape(len(some), self.trees, BITS)
+            found[:, at : at + ROWS] = (bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).T
+        return found
 
 
 class Segment:
@@ -103,14 +109,26 @@ def recall(found: list[np.ndarray], truth: list[np.ndarray]) -> float:
     return sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) / max(1, sum(map(len, truth)))
 
 
-def fit_planes(sample_ids: np.ndarray, sample: np.ndarray, k: int, trees: int, seed: int, wanted: float, queries: int = 100) -> Planes:
-    """Hyperplanes, and the least `enough` that gives the sample's own first queries the wanted recall."""
+def merged(found: list[list[tuple[np.ndarray, np.ndarray]]], k: int) -> list[np.ndarray]:
+    """The ids of the k nearest of each query, of what several segments have found."""
+    out = []
+    for own in zip(*found, strict=True):
+        ids, distance = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+        out.append(ids[np.lexsort((ids, distance))[:k]])
+    return out
+
+
+def fit_planes(sample_ids: np.ndarray, sample: np.ndarray, k: int, trees: int, seed: int, wanted: float, segment_rows: int, queries: int = 100) -> Planes:
+    """Hyperplanes, and the least `enough` that gives the sample's own first queries the wanted recall, in segments of
+    the size that all rows are dealt to."""
     planes = Planes.draw(sample, trees, seed)
-    segment, ids, own = Segment(planes, sample_ids, sample), sample_ids[:queries], sample[:queries]
+    parts = -(-len(sample) // segment_rows)
+    segments = [Segment(planes, sample_ids[i::parts], sample[i::parts]) for i in range(parts)]
+    ids, own = sample_ids[:queries], sample[:queries]
     truth = brute_force(sample_ids, sample, ids, own, k)
-    for enough in (*(2.0**e for e in range(-7, 6)), float(trees)):
+    for enough in (*(2.0 ** (e / 2) for e in range(-14, 11)), float(trees)):
         planes.enough = enough
-        if recall([a for a, _ in segment.search(ids, own, k)], truth) >= wanted:
+        if recall(merged([s.search(ids, own, k) for s in segments], k), truth) >= wanted:
             break
     return planes
 
@@ -119,9 +137,9 @@ def nearest(
     rows: DataFrame,
     k: int = 10,
     every: int = 100,
-    trees: int = 32,
+    trees: int = 64,
     seed: int = 7,
-    wanted_recall: float = 0.97,
+    wanted_recall: float = 0.95,
     sample_rows: int = 8192,
     segment_rows: int = 32_768,
 ) -> DataFrame:
@@ -152,7 +170,7 @@ def nearest(
     if ids < n:
         fine = stored(fine.groupBy("vec_id").agg(F.min("v").alias("v")), "neighbour-rows")
     first = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-    planes = fit_planes(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy()), k, trees, seed, wanted_recall)
+    planes = fit_planes(first["vec_id"].to_numpy(), np.stack(first["v"].to_numpy()), k, trees, seed, wanted_recall, segment_rows)
     segments = -(-ids // segment_rows)
     own = F.pmod(F.xxhash64("vec_id"), F.lit(segments)).cast("int")
     index = fine.select(own.alias("segment"), F.lit(0).alias("asks"), "vec_id", "v")
