@@ -16,41 +16,28 @@ from helixframe.llm.suffixes import without_repeats
 from helixframe.session import stored, table
 
 
-def stage_session(spark: SparkSession) -> None:
-    """Python workers get some hundred rows at a time: stages move whole texts, which can be long. A smaller setting of
-    the session's own stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 500:
-        spark.conf.set(name, 500)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quadratic discriminant, learned from the labels outside the held-out fold, does not reject."""
-    stage_session(spark)
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of every group of near duplicates (80 percent of five-word shingles)."""
-    stage_session(spark)
     return without_near_duplicates(docs, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes in 50-byte strings that also start in a document with a smaller id."""
-    stage_session(spark)
     return without_repeats(docs, length=50)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    stage_session(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in sequences of 2048 to 16384 bytes."""
-    stage_session(spark)
     return pack(docs)
 
 
