@@ -13,11 +13,13 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.operators import partition, report
-from helixframe.operators.compact import unitigs
+from helixframe.functions import kmer as K
+from helixframe.operators import distribute, partition, report
+from helixframe.operators.compact import compact, unitigs
 from helixframe.operators.finish import finish, min_contig_length
 from helixframe.operators.kmers import half_arcs, kmer_counts, node_classes
 from helixframe.functions.kmer import round_up_power
+from helixframe.operators.ranking import numbered
 from helixframe.plans.assemble import Options, assemble, assemble_in_parts, prepared
 from helixframe.session import stored
 from helixframe.sources import graphs
@@ -42,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-coverage", type=float, default=0.0)
     p.add_argument("--min-contig", type=int, default=0, help="least k-mers of a contig")
     p.add_argument("--stat", action="store_true", help="write the classes of the k-mer graph's nodes")
+    p.add_argument("--flow", type=int, default=1, metavar="ROUNDS", help="with --part: load the partitions in so many rounds")
+    p.add_argument("--pgpart", action="store_true", help="write the graph's junctions for an outside partitioner (METIS)")
+    p.add_argument("--pgdist", metavar="FILE", help="the partitioner's answer: deal the graph's nodes out by it")
+    p.add_argument("--pgfilter", type=int, metavar="BITS", help="with --pgdist: write each read's partitions, by a sketch of 2**BITS buckets")
     return p
 
 
@@ -51,7 +57,26 @@ def load(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     reads = parts[0]
     for part in parts[1:]:
         reads = reads.unionByName(part)
-    return reads.withColumn("read_id", F.xxhash64("file_index", "read_id"))
+    return numbered(reads.withColumnRenamed("read_id", "own_id"), "file_index", "own_id", name="read_id")
+
+
+def distribution(spark: SparkSession, args: argparse.Namespace, graph, reads: DataFrame) -> None:
+    """What --pgpart, --pgdist and --pgfilter write: metis, distributed (nodes by partition), masks and routed reads."""
+    graph = graph if graph.tables else compact(graph)
+    found = stored(distribute.junctions(graph.nodes, graph.arcs), "junctions")
+    if args.pgpart:
+        graphs.write_metis(distribute.junction_edges(found), f"{args.out}/metis")
+    if args.pgdist:
+        dealt = stored(distribute.dealt_nodes(found, graphs.read_parts(spark, args.pgdist)), "dealt")
+        dealt.join(graph.nodes.select("id", "seq"), "id").write.partitionBy("part").parquet(f"{args.out}/distributed")
+        if args.pgfilter:
+            words = dealt.join(graph.nodes, "id").select("part", F.explode(K.all_windows(F.col("seq"), args.k)).alias("word"))
+            owned = words.select(K.canonical(F.col("word")).alias("kmer"), "part")
+            masks = stored(distribute.read_masks(reads, args.k, distribute.sketch(owned, args.pgfilter), args.pgfilter), "masks")
+            masks.write.parquet(f"{args.out}/masks")
+            group = F.floor(F.col("read_id") / 2) if "Paired" in args.category else F.col("read_id")
+            pairs = distribute.neighbours(reads, group)
+            distribute.routed(masks, pairs, 64).write.partitionBy("part").parquet(f"{args.out}/routed")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -67,7 +92,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         parts, m = round_up_power(args.part[0]), args.part[1]
         colours = partition.by_range(m, parts)
         graphs.write_super_kmers(partition.super_kmers(prepared(reads, options), args.k, m, colours), f"{args.out}/partitions")
-        graph = assemble_in_parts(reads, options, m, colours)
+        graph = assemble_in_parts(reads, options, m, colours, parts, args.flow)
         texts["partitions"] = str(parts)
     else:
         graph = assemble(reads, options)
@@ -77,6 +102,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         classes.groupBy("class").count().write.parquet(f"{args.out}/classes")
     if options.clip:
         graph = finish(graph, args.cov_cutoff, args.max_coverage, args.bubble_removal)
+    if args.pgpart or args.pgdist:
+        distribution(spark, args, graph, prepared(reads, options))
     found = stored(min_contig_length(unitigs(graph), args.k, args.min_contig), "contigs")
     graphs.write_pregraph(found, f"{args.out}/pregraph", args.k, count, direct=not args.part)
     graphs.write_contigs(found, f"{args.out}/contigs")

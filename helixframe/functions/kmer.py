@@ -97,6 +97,12 @@ def windows(seq: Column, width: int, first: Column | int = 1, count: Column | No
     return F.transform(F.sequence(F.lit(first) if isinstance(first, int) else first, last), lambda i: F.substring(seq, i, F.lit(width)))
 
 
+def all_windows(seq: Column, width: int) -> Column:
+    """All substrings of that width, as an array; of stretches first, since a substring is looked for from the beginning."""
+    starts = F.sequence(F.lit(1), F.length(seq) - width + 1, F.lit(500))
+    return F.flatten(F.transform(F.transform(starts, lambda i: F.substring(seq, i, F.lit(500 + width - 1))), lambda x: windows(x, width)))
+
+
 def saturated(weight: Column, most: int = MAX_WEIGHT) -> Column:
     return F.least(weight, F.lit(most))
 

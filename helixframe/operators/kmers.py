@@ -119,9 +119,12 @@ def degrees(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("src").agg(F.count_if(F.col("side") == "L").alias("lefts"), F.count_if(F.col("side") == "R").alias("rights"))
 
 
-def node_classes(nodes: DataFrame, arcs: DataFrame, node: str = "id") -> DataFrame:
-    """id, lefts, rights, class: isolated, tip (one neighbour), linear (one on each side) or branching."""
-    joined = nodes.select(F.col(node).alias("id")).join(degrees(arcs).withColumnRenamed("src", "id"), "id", "left").fillna(0, ["lefts", "rights"])
+def node_classes(nodes: DataFrame | None, arcs: DataFrame, node: str = "id") -> DataFrame:
+    """id, lefts, rights, class: isolated, tip (one neighbour), linear (one on each side) or branching. Without nodes
+    those that have arcs."""
+    joined = degrees(arcs).withColumnRenamed("src", "id")
+    if nodes is not None:
+        joined = nodes.select(F.col(node).alias("id")).join(joined, "id", "left").fillna(0, ["lefts", "rights"])
     kind = (
         F.when((F.col("lefts") == 0) & (F.col("rights") == 0), "isolated")
         .when(F.col("lefts") + F.col("rights") == 1, "tip")

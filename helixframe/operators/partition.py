@@ -10,12 +10,13 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from helixframe.functions import kmer as K
 from helixframe.functions.similarity import run_distance
 from helixframe.operators.components import connected_components
 from helixframe.operators.kmers import half_arcs, kmers
+from helixframe.session import SMALL, stored
+from helixframe.sources.reads import long_enough
 
 Partitioner = Callable[[Column], Column]
 
@@ -45,20 +46,24 @@ def coloured(reads: DataFrame, k: int, m: int, partitioner: Partitioner) -> Data
 def super_kmers(reads: DataFrame, k: int, m: int, partitioner: Partitioner) -> DataFrame:
     """read_id, run, color, n_kmers, seq, prefix_color, suffix_color: each read cut where the colour changes.
 
-    seq has one more base for the k-mer before and after the run, where the read has one; their colours are given.
+    seq has one more base for the k-mer before and after the run, where the read has one; their colours are given. A read
+    is cut by itself, so nothing is shuffled.
     """
-    by_read = Window.partitionBy("read_id").orderBy("pos")
-    rows = coloured(reads, k, m, partitioner)
-    rows = rows.withColumns({"before": F.lag("color").over(by_read), "after": F.lead("color").over(by_read), "next_base": F.lead(F.substring("kmer", k, 1)).over(by_read), "prior": F.lag(F.substring("kmer", 1, 1)).over(by_read)})
-    rows = rows.withColumn("run", F.sum(F.when(F.col("before") == F.col("color"), 0).otherwise(1)).over(by_read).cast("int") - 1)
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "kmer", "before", "after", "next_base", "prior")))
-    runs = rows.groupBy("read_id", "run", "color").agg(ordered.alias("m"))
-    first, last = F.get("m", F.lit(0)), F.element_at("m", -1)
-    inner = F.concat(first["kmer"], F.array_join(F.transform(F.slice("m", F.lit(2), F.size("m")), lambda x: F.substring(x["kmer"], k, 1)), ""))
+    K.check_k(k)
+    colors = F.transform(K.all_windows(F.col("seq"), k), lambda w: partitioner(K.mini_kmer(w, k, m)))
+    # an exploded array of one stands between, so that what stands below is not made again for each element of what follows
+    rows = long_enough(reads, k).select("read_id", "seq", F.explode(F.array(colors)).alias("colors"))
+    places = F.sequence(F.lit(0), F.size("colors") - 1)
+    changes = F.filter(places, lambda i: (i == 0) | (F.get("colors", i) != F.get("colors", i - 1)))
+    rows = rows.withColumn("starts", F.explode(F.array(changes)))
+    runs = rows.select("read_id", "seq", "colors", "starts", F.posexplode("starts").alias("run", "start"))
+    n = F.coalesce(F.get("starts", F.col("run") + 1), F.size("colors")) - F.col("start")
+    runs = runs.withColumn("n_kmers", n)
+    before, after = (F.col("start") > 0).cast("int"), (F.col("start") + F.col("n_kmers") < F.size("colors")).cast("int")
     return runs.select(
-        "read_id", "run", "color", F.size("m").alias("n_kmers"),
-        F.concat(F.coalesce(first["prior"], F.lit("")), inner, F.coalesce(last["next_base"], F.lit(""))).alias("seq"),
-        first["before"].alias("prefix_color"), last["after"].alias("suffix_color"),
+        "read_id", "run", F.get("colors", F.col("start")).alias("color"), "n_kmers",
+        F.substring("seq", F.col("start") + 1 - before, F.col("n_kmers") + (k - 1) + before + after).alias("seq"),
+        F.when(before == 1, F.get("colors", F.col("start") - 1)).alias("prefix_color"), F.get("colors", F.col("start") + F.col("n_kmers")).alias("suffix_color"),
     )
 
 
@@ -86,13 +91,13 @@ def mini_kmer_borders(spark: SparkSession, m: int, partitioner: Partitioner) ->
     )
 
 
-def coloured_arcs(reads: DataFrame, k: int, m: int, partitioner: Partitioner) -> DataFrame:
+def coloured_arcs(reads: DataFrame, k: int, m: int, partitioner: Partitioner, max_weight: int | None = K.MAX_WEIGHT) -> DataFrame:
     """Half-arcs with color, of the side's own node, and far, the colour of the other node, 0 if it is the same."""
 
     def color(c: str) -> Column:
         return partitioner(K.mini_kmer(F.col(c), k, m))
 
-    arcs = half_arcs(reads, k).withColumns({"color": color("src"), "other": color("dst")})
+    arcs = half_arcs(reads, k, max_weight).withColumns({"color": color("src"), "other": color("dst")})
     return arcs.withColumn("far", F.when(F.col("other") == F.col("color"), 0).otherwise(F.col("other"))).drop("other")
 
 
@@ -105,14 +110,20 @@ def resolved(arcs: DataFrame, upto: int) -> DataFrame:
 def components(nodes: DataFrame, arcs: DataFrame, parts: int) -> DataFrame:
     """id, component (the least id), min_frontier, borders: components over arcs that stay inside a partition, the least
     colour across their borders (parts + 1 without any), and how many border arcs they have."""
-    numbered = nodes.select("id").distinct().select("id", F.xxhash64("id").alias("n"))
-    inner = arcs.where("far = 0").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-    found = connected_components(inner).withColumnRenamed("node", "n")
-    labelled = numbered.join(found, "n", "left").select("id", F.coalesce("component", "n").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("id").alias("component"))
+    found = connected_components(arcs.where("far = 0"), at_once=SMALL).withColumnRenamed("node", "id")
+    labelled = nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     border = arcs.where("far > 0").groupBy(F.col("src").alias("id")).agg(F.min("far").alias("far"), F.count("*").alias("n"))
-    of = labelled.join(border, "id", "left").groupBy("c").agg(F.coalesce(F.min("far"), F.lit(parts + 1)).alias("min_frontier"), F.coalesce(F.sum("n"), F.lit(0)).alias("borders"))
-    return labelled.join(least, "c").join(of, "c").select("id", "component", "min_frontier", "borders")
+    labelled = stored(labelled.join(border, "id", "left"), "members")
+    of = labelled.groupBy(F.col("component").alias("of")).agg(F.coalesce(F.min("far"), F.lit(parts + 1)).alias("min_frontier"), F.coalesce(F.sum("n"), F.lit(0)).alias("borders"))
+    of = stored(of, "member-borders")  # a table, so that the join can split a component with very many nodes
+    return labelled.join(of, F.col("component") == F.col("of")).select("id", "component", "min_frontier", "borders")
+
+
+def related(members: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Those of the members (id, component, ...) that lie in a component with a node that an incoming border arc (dst)
+    touches: what a partition that is loaded next can change."""
+    touched = members.join(incoming.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").select("component").distinct()
+    return members.join(stored(touched, "touched"), "component", "left_semi").select(*members.columns)
 
 
 def targets(found: DataFrame, parts: int, current: int) -> DataFrame:
@@ -121,15 +132,43 @@ def targets(found: DataFrame, parts: int, current: int) -> DataFrame:
     return found.withColumn("target", where)
 
 
-def open_nodes(arcs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id: nodes whose fate a border can still change: those reached from border arcs along straight chains."""
-    linear = classes.where("class in ('linear', 'tip')").select("id")
-    straight = arcs.where("far = 0").join(linear.withColumnRenamed("id", "src"), "src", "left_semi").join(linear.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    found = connected_components(straight.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")))
-    seeds = arcs.where("far > 0").select(F.col("src").alias("id")).distinct().withColumn("node", F.xxhash64("id"))
-    touched = found.join(seeds, "node", "left_semi").select("component").distinct()
-    names = classes.select("id", F.xxhash64("id").alias("node"))
-    return names.join(found.join(touched, "component", "left_semi"), "node", "left_semi").select("id").union(seeds.select("id")).distinct()
+def open_nodes(arcs: DataFrame) -> DataFrame:
+    """id: nodes whose fate a border can still change.
+
+    A walk enters a node where a border arc does. It goes on by the only arc of the other side, and, if the side it enters
+    has other arcs and its own is weak there (of weight 1, or not the heaviest), by those too, but for border arcs. Walks
+    by only arcs are lists, so pointer doubling follows them to their ends in log n joins.
+    """
+    side_arcs = arcs.groupBy("src", "side").agg(F.count("*").alias("n"), F.max("weight").alias("heaviest"))
+    weak = (F.col("n") > 1) & ((F.col("weight") == 1) | (F.col("weight") < F.col("heaviest")))
+    every = stored(arcs.join(side_arcs, ["src", "side"]).select("src", "side", "dst", "dst_side", "far", "n", weak.alias("weak")), "sides")
+    twin = every.select(F.col("src").alias("dst"), F.col("side").alias("dst_side"), F.col("dst").alias("src"), F.col("dst_side").alias("side"), F.col("weak").alias("to_weak"))
+    inner = stored(every.where("far = 0").join(twin, ["src", "side", "dst", "dst_side"]).distinct(), "steps")
+    to = [F.col("dst").alias("to_id"), F.col("dst_side").alias("to_side"), "to_weak"]
+    entered = F.when(F.col("side") == "L", "R").otherwise("L")
+    jumps = [stored(inner.where("n = 1").select(F.col("src").alias("id"), entered.alias("side"), *to), "jumps")]
+    count = jumps[0].count()
+    while 2 ** len(jumps) <= 2 * count:
+        ahead = jumps[-1].select(F.col("id").alias("to_id"), F.col("side").alias("to_side"), F.col("to_id").alias("far_id"), F.col("to_side").alias("far_side"), F.col("to_weak").alias("far_weak"))
+        joined = jumps[-1].drop("to_weak").join(ahead, ["to_id", "to_side"])
+        longer = stored(joined.select("id", "side", F.col("far_id").alias("to_id"), F.col("far_side").alias("to_side"), F.col("far_weak").alias("to_weak")), "jumps")
+        if not longer.limit(1).count():
+            break
+        jumps.append(longer)
+    aside = inner.where("n > 1").select(F.col("src").alias("id"), "side", *to)
+
+    def moved(states: DataFrame, by: DataFrame) -> DataFrame:
+        return states.join(by, ["id", "side"]).select(F.col("to_id").alias("id"), F.col("to_side").alias("side"), F.col("to_weak").alias("weak"))
+
+    near = stored(every.where("far > 0").select(F.col("src").alias("id"), "side", "weak").distinct(), "open")
+    found = None
+    while near.limit(1).count():  # as many rounds as a walk turns aside
+        for by in jumps:
+            near = near.unionByName(moved(near.select("id", "side"), by)).distinct()
+        near = stored(near, "open")
+        found = near if found is None else stored(found.unionByName(near).distinct(), "open")
+        near = stored(moved(near.where("weak").select("id", "side"), aside).distinct().join(found, ["id", "side", "weak"], "left_anti"), "open")
+    return (near if found is None else found).select("id").distinct()
 
 
 def scooped(m: int, parts: int, seed: int = 37) -> dict[str, int]:

@@ -76,11 +76,41 @@ def coverage_histogram(unitigs: DataFrame) -> DataFrame:
 
 
 def weighted_median_coverage(unitigs: DataFrame) -> DataFrame:
-    """coverage: the least at which nodes of at most that coverage hold half of all k-mers."""
-    counted = unitigs.groupBy("coverage").agg(F.sum("n_kmers").alias("n"))
+    """coverage: the least at which nodes of at most that coverage hold half of all k-mers.
+
+    K-mers are counted by tenths of coverage first; only values within the tenth that holds the middle are put in order."""
+    tenth = F.floor(F.col("coverage") * 10)
+    counted = unitigs.groupBy(tenth.alias("tenth")).agg(F.sum("n_kmers").alias("n"))
     begin, end = Window.unboundedPreceding, Window.unboundedFollowing
-    upto, total = F.sum("n").over(Window.orderBy("coverage").rowsBetween(begin, 0)), F.sum("n").over(Window.orderBy("coverage").rowsBetween(begin, end))
-    return counted.withColumns({"upto": upto, "total": total}).where(F.col("upto") * 2 >= F.col("total")).agg(F.min("coverage").alias("coverage"))
+    upto, total = F.sum("n").over(Window.orderBy("tenth").rowsBetween(begin, 0)), F.sum("n").over(Window.orderBy("tenth").rowsBetween(begin, end))
+    middle = counted.withColumns({"upto": upto, "total": total}).where(F.col("upto") * 2 >= F.col("total")).orderBy("tenth").limit(1)
+    middle = middle.select(F.col("tenth").alias("of"), (F.col("upto") - F.col("n")).alias("below"), "total")
+    near = unitigs.join(F.broadcast(middle), tenth == F.col("of")).groupBy("of", "below", "total", "coverage").agg(F.sum("n_kmers").alias("n"))
+    reached = F.col("below") + F.sum("n").over(Window.partitionBy("of").orderBy("coverage").rowsBetween(begin, 0))
+    return near.withColumn("upto", reached).where(F.col("upto") * 2 >= F.col("total")).agg(F.min("coverage").alias("coverage"))
+
+
+def counters(found: DataFrame, open_ids: DataFrame) -> DataFrame:
+    """target, components, nodes, largest, open: what a partition's components (id, component, target) are and how many
+    of their nodes a later partition can still change."""
+    sizes = found.groupBy("target", "component").agg(F.count("*").alias("n"))
+    still = found.join(open_ids, "id", "left_semi").groupBy("target").agg(F.count("*").alias("open"))
+    rows = sizes.groupBy("target").agg(F.count("*").alias("components"), F.sum("n").alias("nodes"), F.max("n").alias("largest"))
+    return rows.join(still, "target", "left").fillna(0, ["open"])
+
+
+def component_classes(stats: DataFrame) -> DataFrame:
+    """kind, n, components: of component_stats, how many components of each kind have n nodes. Kinds are complete single
+    nodes, complete single-copy and other complete ones, and open ones by one, two or more border nodes."""
+    kind = (
+        F.when(F.col("complete") & (F.col("nodes") == 1), "single node")
+        .when(F.col("complete") & F.col("single_copy"), "single copy")
+        .when(F.col("complete"), "complete")
+        .when(F.col("border_nodes") == 1, "one border node")
+        .when(F.col("border_nodes") == 2, "two border nodes")
+        .otherwise("more border nodes")
+    )
+    return stats.groupBy(kind.alias("kind"), F.col("nodes").alias("n")).agg(F.count("*").alias("components"))
 
 
 def log_numbers(lines: DataFrame, pattern: str, *names: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from helixframe.functions import kmer as K
 from helixframe.operators.clip import clip
 from helixframe.operators.compact import compact, unitigs
 from helixframe.operators.finish import finish, min_contig_length
-from helixframe.operators.kmers import Graph, de_bruijn, half_arcs, kmer_counts
-from helixframe.operators.partition import Partitioner, coloured
+from helixframe.operators.kmers import Graph, de_bruijn, kmer_counts
+from helixframe.operators.partition import Partitioner, coloured_arcs, components, resolved, targets
 from helixframe.operators.report import contig_stats, coverage_histogram, weighted_median_coverage
+from helixframe.session import stored
 from helixframe.sources.reads import split_unknown
 
 
@@ -44,16 +46,33 @@ def assemble(reads: DataFrame, options: Options) -> Graph:
     return clip(graph, options.keep_cycles) if options.clip else compact(graph, options.keep_cycles)
 
 
-def assemble_in_parts(reads: DataFrame, options: Options, m: int, partitioner: Partitioner) -> Graph:
-    """The same chains, counted partition by partition: k-mers and arcs are grouped by the colour of their mini-k-mer
-    first, as a cluster that keeps partitions apart would do, and joined before clipping."""
+def assemble_in_parts(reads: DataFrame, options: Options, m: int, partitioner: Partitioner, parts: int, rounds: int = 2) -> Graph:
+    """The same chains, partition by partition.
+
+    K-mers and arcs have the colour of their mini-k-mer, and arcs to another colour are borders. In each round the next
+    partitions are loaded: borders between loaded ones become inner arcs, and the components that have no border left are
+    final. These leave, are clipped and compacted by themselves; the others wait for the partitions of later rounds. In
+    the end all finished components are one graph."""
     reads = prepared(reads, options)
-    counts = coloured(reads, options.k, m, partitioner).groupBy("color", F.col("canon").alias("id")).agg(F.count("*").alias("occ"))
     none = "cast(array() as array<int>) as weights", "cast(array() as array<boolean>) as marks_f", "cast(array() as array<boolean>) as marks_b"
-    nodes = counts.selectExpr("id", "id as seq", "array(occ) as occs", *none)
-    arcs = half_arcs(reads, options.k, options.max_weight).select("src", "side", "base", "weight", F.lit(False).alias("mark"), "dst", "dst_side")
-    graph = Graph(options.k, nodes, arcs)
-    return clip(graph, options.keep_cycles) if options.clip else compact(graph, options.keep_cycles)
+    color = partitioner(K.mini_kmer(F.col("kmer"), options.k, m))
+    waiting = stored(kmer_counts(reads, options.k).withColumn("color", color), "waiting-nodes")
+    arcs = stored(coloured_arcs(reads, options.k, m, partitioner, options.max_weight), "waiting-arcs")
+    done: list[Graph] = []
+    for i in range(1, rounds + 1):
+        upto = parts * i // rounds
+        loaded, near = waiting.where(F.col("color") <= upto), resolved(arcs, upto)
+        found = targets(components(loaded.withColumnRenamed("kmer", "id"), near, parts), parts, upto)
+        final = stored(found.where("target = 'final'").select("id"), "final")
+        nodes = waiting.join(final, F.col("kmer") == F.col("id"), "left_semi").selectExpr("kmer as id", "kmer as seq", "array(occ) as occs", *none)
+        own = arcs.join(final, F.col("src") == F.col("id"), "left_semi").select("src", "side", "base", "weight", F.lit(False).alias("mark"), "dst", "dst_side")
+        graph = Graph(options.k, nodes, own)
+        done.append(clip(graph, options.keep_cycles) if options.clip else compact(graph, options.keep_cycles))
+        if i < rounds:
+            waiting = stored(waiting.join(final, F.col("kmer") == F.col("id"), "left_anti"), "waiting-nodes")
+            arcs = stored(arcs.join(final, F.col("src") == F.col("id"), "left_anti"), "waiting-arcs")
+    union = lambda name: reduce(DataFrame.unionByName, [getattr(g, name) for g in done])
+    return Graph(options.k, union("nodes"), union("arcs"))
 
 
 def contigs(reads: DataFrame, options: Options, least_kmers: int = 0) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from helixframe.functions import kmer as K
 from helixframe.operators import distribute, partition, report
 from helixframe.operators.compact import compact, unitigs
-from helixframe.operators.finish import min_contig_length
-from helixframe.operators.kmers import broken_arcs, de_bruijn, half_arcs, kmer_counts, kmers, node_classes
+from helixframe.operators.finish import cut_coverage, min_contig_length
+from helixframe.operators.kmers import Graph, broken_arcs, de_bruijn, half_arcs, kmer_counts, kmers, node_classes
 from helixframe.operators.ranking import numbered
 from helixframe.plans import assemble as plans
 from helixframe.plans import sql as S
@@ -111,9 +111,10 @@ def kmer_top(spark, sf_dir):
     return kmer_counts(document_reads(spark, sf_dir), 21).orderBy(F.desc("occ"), "kmer").limit(20)
 
 
-@query(f"WITH {S.DOCUMENT_READS}, {S.counts(33)} SELECT kmer, occ FROM counts WHERE occ > 2")
+@query(f"WITH {S.DOCUMENT_READS}, {S.counts(33)} SELECT substr(kmer, 1, 5) AS head, occ, count(*) AS kmers, min(kmer) AS least, max(kmer) AS greatest FROM counts GROUP BY 1, 2")
 def kmer_counts_long(spark, sf_dir):
-    return kmer_counts(document_reads(spark, sf_dir), 33).where("occ > 2")
+    counts = kmer_counts(document_reads(spark, sf_dir), 33)
+    return counts.groupBy(F.substring("kmer", 1, 5).alias("head"), "occ").agg(F.count("*").alias("kmers"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
 
 
 @query(f"""
@@ -141,14 +142,6 @@ def sense_changed_arcs(spark, sf_dir):
     return half_arcs(lineitem_reads(spark, sf_dir), KG).where("sense_changed").select("src", "side", "base", "dst", "weight")
 
 
-@query(f"""
-WITH {S.LINEITEM_READS}, {S.arcs(KG)} SELECT a.src, a.side, a.base FROM arcs a
-WHERE NOT EXISTS (SELECT 1 FROM arcs b WHERE b.src = a.dst AND b.side = a.dst_side AND b.dst = a.src AND b.dst_side = a.side AND b.weight = a.weight)
-""")
-def unpaired_arcs(spark, sf_dir):
-    return broken_arcs(half_arcs(lineitem_reads(spark, sf_dir), KG)).select("src", "side", "base")
-
-
 DEGREES = f"""{S.LINEITEM_READS}, {S.counts(KG)}, {S.arcs(KG)}, classes AS (
   SELECT kmer AS id, coalesce(lefts, 0) AS lefts, coalesce(rights, 0) AS rights,
     CASE WHEN coalesce(lefts + rights, 0) = 0 THEN 'isolated' WHEN lefts + rights = 1 THEN 'tip' WHEN lefts = 1 AND rights = 1 THEN 'linear' ELSE 'branching' END AS class
@@ -157,8 +150,8 @@ DEGREES = f"""{S.LINEITEM_READS}, {S.counts(KG)}, {S.arcs(KG)}, classes AS (
 
 
 def _classes(spark, sf_dir):
-    reads = lineitem_reads(spark, sf_dir)
-    return node_classes(kmer_counts(reads, KG), half_arcs(reads, KG), "kmer")
+    """Every k-mer of a read that is longer than k is an end of some arc, so arcs tell all nodes."""
+    return node_classes(None, half_arcs(lineitem_reads(spark, sf_dir), KG))
 
 
 @query(f"WITH {DEGREES} SELECT class, lefts, rights, count(*) AS nodes FROM classes GROUP BY ALL")
@@ -171,11 +164,6 @@ def tip_starts(spark, sf_dir):
     return _classes(spark, sf_dir).where("lefts + rights = 1").select("id", (F.col("lefts") == 0).alias("walks_right"))
 
 
-@query(f"WITH {DEGREES} SELECT id FROM classes WHERE class = 'isolated'")
-def isolated_nodes(spark, sf_dir):
-    return _classes(spark, sf_dir).where("class = 'isolated'").select("id")
-
-
 @query(f"WITH {S.LINEITEM_READS}, {S.arcs(KG)} SELECT a.src, a.side, a.dst, b.dst AS next, b.weight FROM arcs a JOIN arcs b ON b.src = a.dst AND b.side <> a.dst_side")
 def two_hops(spark, sf_dir):
     arcs = half_arcs(lineitem_reads(spark, sf_dir), KG)
@@ -255,6 +243,24 @@ def boundary_arcs(spark, sf_dir):
     return _far(spark, sf_dir).where("far > 0").select("src", "side", "base", "weight", "color", "far")
 
 
+@query(f"""
+WITH {FAR}, loaded AS (SELECT * FROM far_arcs WHERE color <= 32) SELECT a.src, a.side, a.base FROM loaded a
+WHERE NOT EXISTS (SELECT 1 FROM loaded b WHERE b.src = a.dst AND b.side = a.dst_side AND b.dst = a.src AND b.dst_side = a.side AND b.weight = a.weight)
+""")
+def unpaired_arcs(spark, sf_dir):
+    """Of the first 32 partitions alone: the halves whose other half is in a later one."""
+    return broken_arcs(_far(spark, sf_dir).where("color <= 32")).select("src", "side", "base")
+
+
+@query(f"""
+WITH {FAR}, {S.counts(KG)} SELECT kmer AS id FROM counts WHERE NOT EXISTS (SELECT 1 FROM far_arcs WHERE far = 0 AND src = kmer)
+""")
+def isolated_nodes(spark, sf_dir):
+    """Nodes without an arc inside their own partition."""
+    nodes = kmer_counts(lineitem_reads(spark, sf_dir), KG)
+    return node_classes(nodes, _far(spark, sf_dir).where("far = 0"), "kmer").where("class = 'isolated'").select("id")
+
+
 @query(f"WITH {FAR} SELECT color, count(*) AS halves, count(*) FILTER (far > 0 AND far > 32) AS still_open FROM far_arcs WHERE color <= 32 GROUP BY 1")
 def boundary_resolve(spark, sf_dir):
     left = partition.resolved(_far(spark, sf_dir), 32)
@@ -303,9 +309,40 @@ def component_stats(spark, sf_dir):
     return report.component_stats(_components(spark, sf_dir), _classes(spark, sf_dir), arcs)
 
 
-@query()
+@query(f"""
+WITH {COMPONENTS}, degree AS (SELECT src, count(*) FILTER (far > 0) AS border, coalesce(max(weight) FILTER (far = 0), 0) AS heaviest FROM far_arcs GROUP BY src),
+stats AS (SELECT component, count(*) AS n, sum(coalesce(border, 0)) AS borders, count(*) FILTER (coalesce(border, 0) > 0) AS nodes, max(coalesce(heaviest, 0)) <= 1 AS single FROM found LEFT JOIN degree ON degree.src = found.id GROUP BY 1)
+SELECT CASE WHEN borders = 0 AND n = 1 THEN 'single node' WHEN borders = 0 AND single THEN 'single copy' WHEN borders = 0 THEN 'complete' WHEN nodes = 1 THEN 'one border node' WHEN nodes = 2 THEN 'two border nodes' ELSE 'more border nodes' END AS kind,
+  n, count(*) AS components FROM stats GROUP BY ALL
+""")
+def component_class_hist(spark, sf_dir):
+    return report.component_classes(component_stats(spark, sf_dir))
+
+
+@query(f"""
+WITH {COMPONENTS}, coming AS (SELECT DISTINCT dst FROM far_arcs WHERE color > 32 AND far BETWEEN 1 AND 32)
+SELECT id, component FROM found WHERE component IN (SELECT component FROM found JOIN coming ON coming.dst = found.id)
+""")
+def related_components(spark, sf_dir):
+    """Components that the arcs of the partitions above 32 touch in those up to 32."""
+    arcs = _far(spark, sf_dir)
+    return partition.related(_components(spark, sf_dir), arcs.where("color > 32 and far between 1 and 32")).select("id", "component")
+
+
+OPEN = f"""RECURSIVE {FAR}, loaded AS (SELECT src, side, weight, dst, dst_side, CASE WHEN far <= 60 THEN 0 ELSE far END AS far FROM far_arcs WHERE color <= 60),
+sides AS (SELECT src, side, count(*) AS n, max(weight) AS heaviest FROM loaded GROUP BY 1, 2),
+marked AS (SELECT a.src, a.side, a.dst, a.dst_side, a.far, n, n > 1 AND (weight = 1 OR weight < heaviest) AS weak FROM loaded a JOIN sides s ON s.src = a.src AND s.side = a.side),
+steps AS (SELECT DISTINCT a.src, a.side, a.n, a.dst, a.dst_side, b.weak AS to_weak FROM marked a JOIN marked b ON b.src = a.dst AND b.side = a.dst_side AND b.dst = a.src AND b.dst_side = a.side WHERE a.far = 0),
+walk AS (
+  SELECT DISTINCT src AS id, side, weak FROM marked WHERE far > 0
+  UNION SELECT s.dst, s.dst_side, s.to_weak FROM walk w JOIN steps s ON s.src = w.id AND ((s.side <> w.side AND s.n = 1) OR (s.side = w.side AND s.n > 1 AND w.weak))
+), open AS (SELECT DISTINCT id FROM walk)"""
+
+
+@query(f"WITH {OPEN} SELECT id FROM open")
 def open_nodes(spark, sf_dir):
-    return partition.open_nodes(_far(spark, sf_dir), _classes(spark, sf_dir))
+    """With the partitions up to 60 loaded."""
+    return partition.open_nodes(partition.resolved(_far(spark, sf_dir), 60))
 
 
 @query()
@@ -336,11 +373,50 @@ def hashed_partitions(spark, sf_dir):
 GRAPH = plans.Options(k=21)
 
 
-@query()
+CHAINS = f"""RECURSIVE {S.LINEITEM_READS}, {S.counts(KG)}, {S.arcs(KG)}, alone AS (SELECT src, side FROM arcs GROUP BY 1, 2 HAVING count(*) = 1),
+links AS (SELECT a.src, a.side, a.dst, CASE a.dst_side WHEN 'L' THEN 'R' ELSE 'L' END AS onward, CASE a.side WHEN 'R' THEN base ELSE {S.comp('base')} END AS added
+  FROM arcs a JOIN alone x ON x.src = a.src AND x.side = a.side JOIN alone y ON y.src = a.dst AND y.side = a.dst_side WHERE a.src <> a.dst),
+starts AS (SELECT kmer, occ, side FROM counts, (VALUES ('L'), ('R')) v(side) WHERE NOT EXISTS (SELECT 1 FROM links WHERE src = kmer AND links.side <> v.side)),
+walk AS (
+  SELECT kmer AS id, side, kmer AS node_id, CASE side WHEN 'R' THEN kmer ELSE {S.rc('kmer')} END AS seq, 1 AS n_kmers, occ::BIGINT AS kmer_occurrences FROM starts
+  UNION ALL SELECT l.dst, l.onward, least(node_id, l.dst), seq || added, n_kmers + 1, kmer_occurrences + c.occ FROM walk w JOIN links l ON l.src = w.id AND l.side = w.side JOIN counts c ON c.kmer = l.dst
+), chains AS (
+  SELECT node_id, min(least(seq, {S.rc('seq')})) AS seq, max(n_kmers)::INT AS n_kmers, max(kmer_occurrences) AS kmer_occurrences, max(kmer_occurrences) / max(n_kmers) AS coverage
+  FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src = w.id AND l.side = w.side) GROUP BY node_id
+)"""
+
+
+@query(f"WITH {CHAINS} SELECT * FROM chains")
 def chains(spark, sf_dir):
     return unitigs(compact(de_bruijn(lineitem_reads(spark, sf_dir), KG)))
 
 
+@query(f"WITH {CHAINS} SELECT (kmer_occurrences * 10) // n_kmers AS bucket, count(*) AS nodes, sum(kmer_occurrences * 10)::BIGINT AS weighted FROM chains GROUP BY 1")
+def chain_coverage_hist(spark, sf_dir):
+    return report.coverage_histogram(chains(spark, sf_dir))
+
+
+@query(f"""
+WITH {CHAINS}, c AS (SELECT coverage, sum(n_kmers) AS n FROM chains GROUP BY 1),
+r AS (SELECT coverage, sum(n) OVER (ORDER BY coverage) AS upto, sum(n) OVER () AS total FROM c) SELECT min(coverage) AS coverage FROM r WHERE upto * 2 >= total
+""")
+def chain_median(spark, sf_dir):
+    return report.weighted_median_coverage(chains(spark, sf_dir))
+
+
+@query(f"""
+WITH {CHAINS} SELECT row_number() OVER (ORDER BY seq) AS number, 'NODE' || chr(9) || row_number() OVER (ORDER BY seq) || chr(9) || n_kmers || chr(9) || '0' || chr(9) || format('{{:g}}', coverage) AS node, seq FROM chains
+""")
+def chain_lines(spark, sf_dir):
+    return graphs.contig_lines(chains(spark, sf_dir))
+
+
+@query(f"WITH {CHAINS} SELECT node_id, n_kmers FROM chains WHERE coverage >= 2 AND coverage <= 4")
+def chain_cutoff(spark, sf_dir):
+    graph = cut_coverage(compact(de_bruijn(lineitem_reads(spark, sf_dir), KG)), 2, 4)
+    return unitigs(graph).select("node_id", "n_kmers")
+
+
 @query()
 def clipped_unitigs(spark, sf_dir):
     return unitigs(plans.assemble(lineitem_reads(spark, sf_dir), GRAPH))
@@ -348,7 +424,7 @@ def clipped_unitigs(spark, sf_dir):
 
 @query()
 def clipped_in_parts(spark, sf_dir):
-    return unitigs(plans.assemble_in_parts(lineitem_reads(spark, sf_dir), GRAPH, M, RANGES))
+    return unitigs(plans.assemble_in_parts(lineitem_reads(spark, sf_dir), GRAPH, M, RANGES, PARTS))
 
 
 @query()
@@ -408,6 +484,16 @@ def _like_unitigs(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("node_id"), n.alias("n_kmers"), occ.alias("kmer_occurrences"), (occ / n).alias("coverage"))
 
 
+@query(f"""
+WITH {CHAINS}, lengths AS (SELECT n_kmers::BIGINT AS len FROM chains), totals AS (SELECT count(*) AS contigs, sum(len)::BIGINT AS total FROM lengths),
+ranked AS (SELECT len, sum(len) OVER (ORDER BY len DESC, i ROWS UNBOUNDED PRECEDING) AS so_far, row_number() OVER (ORDER BY len DESC, i) AS nth FROM (SELECT len, row_number() OVER () AS i FROM lengths))
+SELECT contigs, total, (SELECT min(len) FROM lengths) AS shortest, (SELECT max(len) FROM lengths) AS longest, total // contigs AS mean,
+  (SELECT floor(median(len))::BIGINT FROM lengths) AS median, {_n(50)}, {_n(80)} FROM totals
+""")
+def chain_stats(spark, sf_dir):
+    return report.contig_stats(chains(spark, sf_dir))
+
+
 @query(f"WITH {LIKE_UNITIGS} SELECT (kmer_occurrences * 10) // n_kmers AS bucket, count(*) AS nodes, sum(kmer_occurrences * 10)::BIGINT AS weighted FROM u GROUP BY 1")
 def coverage_hist(spark, sf_dir):
     return report.coverage_histogram(_like_unitigs(spark, sf_dir))
@@ -421,9 +507,21 @@ def length_weighted_median(spark, sf_dir):
     return report.weighted_median_coverage(_like_unitigs(spark, sf_dir))
 
 
-@query(f"WITH {LIKE_UNITIGS} SELECT node_id, n_kmers FROM u WHERE kmer_occurrences / n_kmers >= 5 AND kmer_occurrences / n_kmers <= 30")
+@query(f"""
+WITH {LIKE_UNITIGS}, kept AS (SELECT node_id, n_kmers FROM u WHERE kmer_occurrences / n_kmers >= 5 AND kmer_occurrences / n_kmers <= 30)
+SELECT node_id, n_kmers, (SELECT count(*) FROM kept b WHERE b.node_id IN (a.node_id - 1, a.node_id + 1)) AS arcs FROM kept a
+""")
 def cov_cutoff(spark, sf_dir):
-    return _like_unitigs(spark, sf_dir).where("coverage >= 5 and coverage <= 30").select("node_id", "n_kmers")
+    """Documents as nodes in a row, each with an arc to the next."""
+    docs, n = _like_unitigs(spark, sf_dir), F.col("n_kmers")
+    each, last = 1 + F.col("node_id") % 37, F.col("node_id") % 5
+    occs = F.concat(F.array_repeat(each, n - 1), F.array(each + last))
+    nodes = docs.select(F.col("node_id").alias("id"), F.lit("").alias("seq"), occs.alias("occs"))
+    arc = lambda side, step: F.struct(F.lit(side).alias("side"), (F.col("node_id") + step).alias("dst"), F.lit("L" if side == "R" else "R").alias("dst_side"))
+    arcs = docs.select(F.col("node_id").alias("src"), F.inline(F.array(arc("L", -1), arc("R", 1)))).join(docs.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    left = cut_coverage(Graph(1, nodes, arcs), 5, 30)
+    counted = left.arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("arcs"))
+    return left.nodes.join(counted, "id", "left").fillna(0, ["arcs"]).select(F.col("id").alias("node_id"), F.size("occs").alias("n_kmers"), "arcs")
 
 
 @query("SELECT doc_id AS node_id, length(text) AS n FROM documents WHERE length(text) >= 100 + 21 - 1")
@@ -459,15 +557,15 @@ def read_partition_mask(spark, sf_dir):
 
 
 @query(f"""
-WITH {SKETCH}, pairs AS (SELECT min(read_id) AS first, max(read_id) AS second FROM reads GROUP BY read_id // {10 * 2**32} HAVING min(read_id) < max(read_id)),
-dealt AS (SELECT p.part, a.read_id AS r1, b.read_id AS r2, ((a.mask >> p.part) & 1) = 1 AS h1, ((b.mask >> p.part) & 1) = 1 AS h2
-  FROM pairs JOIN masks a ON a.read_id = first JOIN masks b ON b.read_id = second, range(60) AS p(part)),
+WITH {SKETCH}, placed AS (SELECT read_id, read_id // {10 * 2**32} AS g, row_number() OVER (PARTITION BY read_id // {10 * 2**32} ORDER BY read_id) - 1 AS place FROM reads),
+pairs AS (SELECT min(read_id) AS first, max(read_id) FILTER (place % 2 = 1) AS second FROM placed GROUP BY g, place // 2),
+dealt AS (SELECT p.part, a.read_id AS r1, b.read_id AS r2, ((a.mask >> p.part) & 1) = 1 AS h1, coalesce(((b.mask >> p.part) & 1) = 1, false) AS h2
+  FROM pairs JOIN masks a ON a.read_id = first LEFT JOIN masks b ON b.read_id = second, range(60) AS p(part)),
 routed AS (SELECT part, r1 AS read_id, h1 AND h2 AS paired FROM dealt WHERE h1 UNION ALL SELECT part, r2, h1 AND h2 FROM dealt WHERE h2)
 SELECT part::INT AS part, paired, count(*) AS reads, min(read_id) AS least FROM routed GROUP BY 1, 2
 """)
 def read_routing(spark, sf_dir):
-    by_order = lineitem_reads(spark, sf_dir).groupBy(F.expr(f"read_id div {10 * 2**32}"))
-    pairs = by_order.agg(F.min("read_id").alias("first"), F.max("read_id").alias("second")).where("first < second").select("first", "second")
+    pairs = distribute.neighbours(lineitem_reads(spark, sf_dir), F.expr(f"read_id div {10 * 2**32}"))
     out = distribute.routed(_masks(spark, sf_dir), pairs, 60)
     return out.groupBy("part", "paired").agg(F.count("*").alias("reads"), F.min("read_id").alias("least"))
 

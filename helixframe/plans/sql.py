@@ -7,13 +7,13 @@ from helixframe.sources import reads as R
 
 DOCUMENT_READS = "reads AS (SELECT doc_id AS read_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g') AS seq FROM documents)"
 
-LINEITEM_READS = f"""windows AS (
+LINEITEM_READS = f"""genome AS (SELECT greatest({R.LEAST}, count(*) // {R.ROWS_PER_BASE}) AS bases FROM lineitem), windows AS (
   SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * {2**32} + l_partkey * {2**12} + l_suppkey AS read_id,
-    (l_orderkey * 7 + l_partkey * 13) % {R.GENOME - R.WIDTH} AS start,
-    CASE WHEN l_suppkey % 20 = 0 THEN l_partkey % {R.WIDTH} ELSE -1 END AS wrong FROM lineitem
+    (l_orderkey * 7919 + l_partkey * 13) % (bases - {R.WIDTH}) AS start,
+    CASE WHEN l_suppkey % 20 = 0 THEN l_partkey % {R.WIDTH} ELSE -1 END AS wrong FROM lineitem, genome
 ), reads AS (
   SELECT read_id, list_aggregate(list_transform(range({R.WIDTH}), lambda i: substr('ACGT', 1 + (
-    (((({R.A} * (start + i) * (start + i) + {R.B} * (start + i) + {R.C}) % {R.P}) // 7) % 4 + CASE WHEN i = wrong THEN 1 ELSE 0 END) % 4)::INT, 1)), 'string_agg', '') AS seq
+    ((((({R.A} * (start + i) + {R.C}) % {R.P}) * (({R.A} * (start + i) + {R.C}) % {R.P}) % {R.P}) // 7) % 4 + CASE WHEN i = wrong THEN 1 ELSE 0 END) % 4)::INT, 1)), 'string_agg', '') AS seq
   FROM windows
 )"""
 

@@ -121,9 +121,9 @@ def write_metis(edges: DataFrame, path: str) -> None:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """vid, part: the partition on each line of one text file, in order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
-    return rows.where(F.trim("line") != "").select(F.col("at").cast("long").alias("vid"), F.trim("line").cast("int").alias("part"))
+    """vid, part: the partition on each line of one text file, in order; blank lines count but give no row."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value").alias("line"))
+    return numbered(lines, "block", "at").where("line != ''").select(F.col("number").alias("vid"), F.col("line").cast("int").alias("part"))
 
 
 def write_super_kmers(pieces: DataFrame, path: str) -> None:
@@ -150,3 +150,9 @@ def read_graph(spark: SparkSession, path: str, k: int):
 def write_components(members: DataFrame, path: str) -> None:
     """Nodes with component and target as Parquet, a folder for each target."""
     members.write.partitionBy("target").parquet(path)
+
+
+def read_components(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """The nodes that write_components wrote, of one target or of all."""
+    found = spark.read.parquet(path)
+    return found if target is None else found.where(F.col("target") == target)

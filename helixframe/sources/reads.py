@@ -56,39 +56,49 @@ def read_tabbed(spark: SparkSession, path: str, skip: int = 4, category_id: int
 
 
 def read_fastq(spark: SparkSession, path: str, category_id: int = 0) -> DataFrame:
-    """Reads of FASTQ files with four lines a record, gzip files included."""
+    """Reads of FASTQ files with four lines a record, gzip files included; records without a sequence are not returned.
+
+    A record is header, sequence and a line that begins with +. Where its quality begins with @, that line is cut off as
+    a piece of its own, which has no such lines and is passed over.
+    """
     records = spark.read.option("lineSep", "\n@").text(path)
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "^@", ""), "\n")
-    return records.select(lines.alias("l")).where(F.size("l") >= 4).select(
+    whole = records.select(lines.alias("l")).where((F.size("l") >= 3) & F.get("l", F.lit(2)).startswith("+") & (F.get("l", F.lit(1)) != ""))
+    return whole.select(
         F.monotonically_increasing_id().alias("read_id"), F.get("l", F.lit(0)).alias("header"), F.get("l", F.lit(1)).alias("seq"), F.lit(category_id).alias("category")
     )
 
 
 def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text as a read of normalised bases."""
+    """Every document's whole text as a read of normalised bases; texts are shuffled only where the table has fewer parts
+    than there are cores."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), K.normalise(F.col("text")).alias("seq"))
-    return docs.repartition("read_id")
+    return docs.repartition("read_id") if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else docs
 
 
-#: The genome of the synthetic reads: base i is (A * i * i + B * i + C) // 7 mod 4 of numbers below P.
-GENOME, WIDTH, P, A, B, C = 5000, 36, 10007, 131, 977, 37
+#: The genome of the synthetic reads has a base for so many rows of lineitem, LEAST at least. Base i is x * x mod P // 7
+#: mod 4, where x is A * i + C mod P.
+ROWS_PER_BASE, LEAST, WIDTH, P, A, C = 12, 1000, 36, 2**31 - 1, 1_103_515_245, 12_345
 
 
 def lineitem_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 36-base window of a synthetic genome for each different (order, line, part, supplier) of lineitem, every
-    twentieth supplier's with a substitution."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    start = F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * 13, F.lit(GENOME - WIDTH))
+    """A 36-base window of a synthetic genome, which grows with the table, for each different (order, line, part,
+    supplier) of lineitem, every twentieth supplier's with a substitution."""
+    lines = table(spark, sf_dir, "lineitem")
+    genome = max(LEAST, lines.count() // ROWS_PER_BASE)
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    start = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_partkey") * 13, F.lit(genome - WIDTH))
     wrong = F.when(F.col("l_suppkey") % 20 == 0, F.pmod(F.col("l_partkey"), F.lit(WIDTH))).otherwise(-1)
 
     def base(i):
-        at = F.col("start") + i
-        code = F.floor(F.pmod(A * at * at + B * at + C, F.lit(P)) / 7) % 4
+        x = F.pmod(F.lit(A) * (F.col("start") + i) + C, F.lit(P))
+        code = F.floor(F.pmod(x * x, F.lit(P)) / 7) % 4
         return F.substring(F.lit(K.BASES), (F.when(i == F.col("wrong"), (code + 1) % 4).otherwise(code) + 1).cast("int"), F.lit(1))
 
+    seq = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), base), "")
     return rows.withColumns({"start": start, "wrong": wrong}).select(
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 2**32 + F.col("l_partkey") * 2**12 + F.col("l_suppkey")).alias("read_id"),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), base), "").alias("seq"),
+        F.explode(F.array(seq)).alias("seq"),  # so that filters on seq don't make it again
     )
 
 

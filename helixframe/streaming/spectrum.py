@@ -26,33 +26,56 @@ def spectrum_stream(reads: DataFrame, k: int) -> DataFrame:
 class GrowingGraph:
     """Nodes and arcs as tables in a folder, to which each batch of reads is added.
 
-    Sums are kept whole and capped when they are read, so the order of batches does not matter. Each version is a table
-    of its own, named after its batch; a batch that is repeated after a failure writes the same version again.
+    A batch writes what it adds as a table of its own; after every `every` batches all is summed up to a base. What there
+    is is read from the folder each time, and a table counts once its arcs, which are written last, are complete. So a
+    batch that is repeated after a failure is added once, and a new GrowingGraph on the same folder goes on where the last
+    one ended. Tables that a base holds are deleted when the next base is complete. Sums are kept whole and capped when
+    they are read, so the order of batches does not matter.
     """
 
-    def __init__(self, spark: SparkSession, k: int, path: str | None = None):
-        self.spark, self.k = spark, k
+    KEYS = {"nodes": ["kmer"], "arcs": ["src", "side", "base", "dst", "dst_side", "sense_changed"]}
+    SUMS = {"nodes": "occ", "arcs": "weight"}
+
+    def __init__(self, spark: SparkSession, k: int, path: str | None = None, every: int = 10):
+        self.spark, self.k, self.every = spark, k, every
         self.path = path or stored_path(spark, "growing")
-        self.version: int | None = None
+
+    def _complete(self) -> tuple[list[int], list[int]]:
+        """The numbers of all bases and batches that are complete, ascending."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found: dict[str, list[int]] = {"base": [], "batch": []}
+        if fs.exists(top):
+            for status in fs.listStatus(top):
+                kind, _, number = status.getPath().getName().partition("-")
+                if kind in found and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "arcs/_SUCCESS")):
+                    found[kind].append(int(number))
+        return sorted(found["base"]), sorted(found["batch"])
 
     def _read(self, name: str) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.path}/{name}/{self.version}")
+        bases, batches = self._complete()
+        last = bases[-1] if bases else -1
+        paths = [f"{self.path}/base-{last}/{name}"] * bool(bases) + [f"{self.path}/batch-{b}/{name}" for b in batches if b > last]
+        if not paths:
+            return None
+        total = F.sum(self.SUMS[name]).cast("long").alias(self.SUMS[name])
+        return self.spark.read.parquet(*paths).groupBy(*self.KEYS[name]).agg(total)
+
+    def _write(self, nodes: DataFrame, arcs: DataFrame, name: str) -> None:
+        nodes.write.mode("overwrite").parquet(f"{self.path}/{name}/nodes")
+        arcs.write.mode("overwrite").parquet(f"{self.path}/{name}/arcs")
 
     def add(self, reads: DataFrame, batch: int) -> None:
-        if self.version is not None and batch <= self.version:
+        bases, batches = self._complete()
+        if batch in batches or (bases and batch <= bases[-1]):
             return
-        old_nodes, old_arcs = self._read("nodes"), self._read("arcs")
-        nodes, arcs = kmer_counts(reads, self.k), half_arcs(reads, self.k, max_weight=None)
-        keys = ["src", "side", "base", "dst", "dst_side", "sense_changed"]
-        if old_nodes is not None:
-            nodes = nodes.unionByName(old_nodes).groupBy("kmer").agg(F.sum("occ").alias("occ"))
-            arcs = arcs.unionByName(old_arcs).groupBy(*keys).agg(F.sum("weight").cast("int").alias("weight"))
-        nodes.write.mode("overwrite").parquet(f"{self.path}/nodes/{batch}")
-        arcs.write.mode("overwrite").parquet(f"{self.path}/arcs/{batch}")
-        before, self.version = self.version, batch
-        if before is not None:
-            for name in ("nodes", "arcs"):
-                discard(self.spark, f"{self.path}/{name}/{before}")
+        arcs = half_arcs(reads, self.k, max_weight=None)
+        self._write(kmer_counts(reads, self.k), arcs.withColumn("weight", F.col("weight").cast("long")), f"batch-{batch}")
+        if (batch + 1) % self.every == 0:
+            self._write(self._read("nodes"), self._read("arcs"), f"base-{batch}")
+            for name in [f"base-{n}" for n in bases[:-1]] + [f"batch-{n}" for n in batches if bases and n <= bases[-1]]:
+                discard(self.spark, f"{self.path}/{name}")
 
     def start(self, reads: DataFrame, checkpoint: str) -> StreamingQuery:
         return reads.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).start()
@@ -65,4 +88,4 @@ class GrowingGraph:
         return self._read("nodes")
 
     def arcs(self, max_weight: int = K.MAX_WEIGHT) -> DataFrame:
-        return self._read("arcs").withColumn("weight", K.saturated(F.col("weight"), max_weight))
+        return self._read("arcs").withColumn("weight", K.saturated(F.col("weight"), max_weight).cast("int"))

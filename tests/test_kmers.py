@@ -132,7 +132,7 @@ def test_partitioned_equals_direct(spark):
     seqs += [s[:20] + "ACGT"["CGTA".index(s[20])] + s[21:] for s in seqs[:6]]
     reads, options = frame(spark, seqs), Options(k=15)
     whole = unitigs(assemble(reads, options))
-    parts = unitigs(assemble_in_parts(reads, options, 7, partition.by_range(7, 16)))
+    parts = unitigs(assemble_in_parts(reads, options, 7, partition.by_range(7, 16), 16, rounds=4))
     assert reverse_complements_equal(whole, parts) and whole.count() > 0
     found = contigs(reads, Options(k=15, bubbles=True, cov_cutoff=1.5))
     longest = max(found.collect(), key=lambda r: r["n_kmers"])
@@ -235,3 +235,56 @@ def test_every_read_is_routed(spark):
     masks = spark.createDataFrame([(i, 3 if i == 1 else 1) for (i,) in ids], "read_id long, mask long")
     got = {(r["part"], r["read_id"], r["paired"]) for r in distribute.routed(masks, pairs, 2).collect()}
     assert got == {(0, i, i not in (2, 10)) for (i,) in ids} | {(1, 1, False)}
+
+
+@pytest.mark.parametrize("sizes", [(5, 4), (60, 50), (400, 700)])
+def test_components_at_once_equal_those_in_passes(spark, sizes):
+    rng = random.Random(sum(sizes))
+    edges = [(f"n{rng.randrange(sizes[0])}", f"n{rng.randrange(sizes[0])}") for _ in range(sizes[1])] + [(f"p{i:04}", f"p{i + 1:04}") for i in range(300)]
+    df = spark.createDataFrame(edges, "src string, dst string").repartition(3)
+    once, passes = ({tuple(r) for r in connected_components(df, at_once=n).collect()} for n in (10**6, 0))
+    assert once == passes and len(once) > 300
+
+
+def test_open_nodes_walk_as_they_are_told(spark):
+    """A border at x1; x1 x2 x3 are a list; x3 meets the branch b by a weak arc, y by a single one, z by a heavy one."""
+    half = lambda s, ss, d, ds, w, far=0: [(s, ss, "A", w, d, ds, far), (d, ds, "C", w, s, ss, far)]
+    rows = half("x1", "R", "x2", "L", 2) + half("x2", "R", "x3", "L", 2) + half("x3", "R", "b", "L", 1) + half("y", "R", "b", "L", 1) + half("z", "R", "b", "L", 5)
+    rows += half("b", "R", "c", "L", 4) + half("y0", "R", "y", "L", 3) + half("c", "R", "d", "L", 1) + half("c", "R", "e", "L", 4) + half("q", "R", "r", "L", 4)
+    rows += [("x1", "L", "G", 3, "far", "R", 9)]
+    arcs = spark.createDataFrame(rows, "src string, side string, base string, weight int, dst string, dst_side string, far int")
+    assert {r["id"] for r in partition.open_nodes(arcs).collect()} == {"x1", "x2", "x3", "b", "c", "y", "z", "y0"}
+    none = partition.open_nodes(arcs.where("far = 0"))
+    assert none.count() == 0
+
+
+def test_related_components_are_those_that_are_touched(spark):
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")], "id string, component string")
+    coming = spark.createDataFrame([("x", "b"), ("y", "d"), ("y", "zz")], "src string, dst string")
+    assert {r["id"] for r in partition.related(members, coming).collect()} == {"a", "b", "d"}
+
+
+def test_functions_of_sql(spark):
+    from helixframe.functions.registered import register
+
+    register(spark)
+    frame(spark, [*sequences(30, 1, 40), "ACGTT", "ACGT"]).createOrReplaceTempView("some_reads")
+    rows = spark.sql("SELECT read_id, x.* FROM some_reads, LATERAL kmers(seq, 5) x")
+    assert rows.exceptAll(kmers(spark.table("some_reads"), 5).select(rows.columns)).count() == 0 and rows.count() == kmers(spark.table("some_reads"), 5).count()
+    back = spark.sql("SELECT seq, kmer_of_code(kmer_code(seq), length(seq)) AS back, reverse_complement(seq) AS twin, canonical_kmer(seq) AS canon, mini_kmer('ACGTTCA', 3) AS mini, sequence_of_contig('ACGT', 'CGTA', 4) AS joined, complement_of('AC') AS c, normalised('acN') AS n FROM some_reads WHERE length(seq) <= 31").collect()
+    assert all((r["back"], r["twin"], r["canon"]) == (r["seq"], rc(r["seq"]), canon(r["seq"])) for r in back)
+    assert (back[0]["mini"], back[0]["joined"], back[0]["c"], back[0]["n"]) == (canon("GTT"), "ACGTA", "TG", "ACA")
+
+
+def test_super_kmers_of_long_reads(spark):
+    g = sequences(1, 3000, 3000, 12)[0]
+    reads = frame(spark, [g, g[:14], g[:15], g[:16]])
+    pieces = partition.super_kmers(reads, 15, 7, partition.by_hash(8)).orderBy("read_id", "run").collect()
+    whole = [p for p in pieces if p["read_id"] == 0]
+    assert sum(p["n_kmers"] for p in whole) == 2986 and {p["read_id"] for p in pieces} == {0, 3}
+    at = 0
+    for i, p in enumerate(whole):
+        before, after = i > 0, i < len(whole) - 1
+        assert p["seq"] == g[at - before : at + p["n_kmers"] + 14 + after]
+        assert p["prefix_color"] == (whole[i - 1]["color"] if before else None) and p["suffix_color"] == (whole[i + 1]["color"] if after else None)
+        at += p["n_kmers"]

@@ -5,6 +5,10 @@ import pytest
 from helixframe.plans import registry
 
 
+#: The most shuffles of each; lineitem's distinct rows take one for each time that reads are made.
+SHUFFLES = {"kmer_spectrum": 3, "kmer_top": 2, "arc_weights": 3, "node_degree_class": 5, "superkmers": 1, "boundary_arcs": 3, "read_partition_mask": 6}
+
+
 @pytest.fixture
 def sf_dir(spark, tmp_path):
     spark.createDataFrame([(1, "ACGTACGTACGTACGTACGTACGTACG", "en", "s", 27)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
@@ -21,3 +25,4 @@ def test_plan(spark, sf_dir, name):
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "n_chars" not in plan and "l_quantity" not in plan and "lang" not in plan
     assert "partial_" in plan or name == "superkmers"
+    assert plan.count("Exchange hashpartitioning") <= SHUFFLES[name]

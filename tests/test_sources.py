@@ -1,4 +1,5 @@
 import gzip
+import random
 from pathlib import Path
 
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 from helixframe.operators.compact import compact, unitigs
 from helixframe.operators.kmers import de_bruijn, half_arcs, kmer_counts
 from helixframe.operators.partition import by_range, super_kmers
-from helixframe.operators.report import contig_stats, histogram, histogram_summary, log_numbers, weighted_median_coverage
+from helixframe.operators.report import contig_stats, counters, histogram, histogram_summary, log_numbers, weighted_median_coverage
 from helixframe.sources import graphs
+from helixframe.sources.graphs import read_components, read_parts, write_components
 from helixframe.sources.reads import category, read_fasta, read_fastq, read_tabbed
 from helixframe.streaming.spectrum import GrowingGraph, read_stream, spectrum_stream
 
@@ -145,3 +147,76 @@ def test_streams(spark, tmp_path):
     run = spectrum_stream(read_stream(spark, path), 5).writeStream.format("memory").queryName("counts").outputMode("complete")
     run.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("counts").exceptAll(kmer_counts(every, 5)).count() == 0
+
+
+def test_fastq_quality_may_begin_with_an_at_sign(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(f"r{i} x", "".join(rng.choice("ACGT") for _ in range(1 + i % 40))) for i in range(300)]
+    quality = lambda i, n: ("@" * (i % 3) + "+" * (i % 2) + "I" * n)[:n] if i % 4 else "@" * n
+    text = "".join(f"@{h}\n{s}\n+{h if i % 5 == 0 else ''}\n{quality(i, len(s))}\n" for i, (h, s) in enumerate(rows))
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text(text.replace("\n", "\r\n"))
+    for name in ("a.fq", "b.fq"):
+        found = read_fastq(spark, str(tmp_path / name)).collect()
+        assert sorted((r["header"], r["seq"]) for r in found) == sorted(rows)
+    (tmp_path / "c.fq").write_text("@a\n\n+\n\n@b\nACG\n+\n@@@\n@c\nT\n+\n@\n")
+    assert sorted(r["seq"] for r in read_fastq(spark, str(tmp_path / "c.fq")).collect()) == ["ACG", "T"]
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    path, seqs = str(tmp_path / "reads"), ["ACCGTTAGCATTGC", "GGTTAACCGT", "TTAGGCATCAAC", "ACCGTTAGCA"]
+    write = lambda i: spark.createDataFrame([(i, seqs[i])], "read_id long, seq string").coalesce(1).write.mode("append").parquet(path)
+    for i in range(4):
+        write(i)
+        graph = GrowingGraph(spark, 5, str(tmp_path / "g"), every=2)  # as after a restart
+        graph.start_available(read_stream(spark, path), str(tmp_path / "c")).awaitTermination()
+        assert graph.nodes().exceptAll(kmer_counts(spark.read.parquet(path), 5)).count() == 0
+        assert graph.nodes().agg(F.sum("occ")).first()[0] == sum(len(s) - 4 for s in seqs[: i + 1])
+    assert graph._complete()[0] == [1, 3] and 0 not in graph._complete()[1]
+
+
+def test_a_batch_that_failed_is_added_once(spark, tmp_path):
+    """A kill after the nodes are written, and one after the batch is written but before the stream knows."""
+    reads = [spark.createDataFrame([(i, s)], "read_id long, seq string") for i, s in enumerate(["ACCGTTAGCATTGC", "GGTTAACCGT"])]
+    graph = GrowingGraph(spark, 5, str(tmp_path / "g"))
+    graph.add(reads[0], 0)
+    kmer_counts(reads[1], 5).write.parquet(str(tmp_path / "g" / "batch-1" / "nodes"))
+    again = GrowingGraph(spark, 5, str(tmp_path / "g"))
+    assert again.nodes().exceptAll(kmer_counts(reads[0], 5)).count() == 0
+    for _ in range(2):
+        again.add(reads[1], 1)
+        assert again.nodes().exceptAll(kmer_counts(reads[0].unionByName(reads[1]), 5)).count() == 0
+        assert again.nodes().agg(F.sum("occ")).first()[0] == 10 + 6
+
+
+def test_partition_answers_of_any_size(spark, tmp_path):
+    rng = random.Random(3)
+    parts = [rng.randrange(9) for _ in range(5000)]
+    (tmp_path / "p").write_text("".join(f"{p}\n" for p in parts[:2500]) + "\n" + "".join(f" {p}\n" for p in parts[2500:]))
+    found = {r["vid"]: r["part"] for r in read_parts(spark, str(tmp_path / "p")).collect()}
+    assert found == {i + (i >= 2500): p for i, p in enumerate(parts)}
+
+
+def test_components_of_a_bucket(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "A", "final"), ("C", "A", "final"), ("G", "G", "inbox-3")], "id string, component string, target string")
+    write_components(rows, str(tmp_path / "c"))
+    assert {tuple(r) for r in read_components(spark, str(tmp_path / "c")).select(rows.columns).collect()} == {tuple(r) for r in rows.collect()}
+    assert [r["id"] for r in read_components(spark, str(tmp_path / "c"), "inbox-3").collect()] == ["G"]
+    open_ids = spark.createDataFrame([("G",)], "id string")
+    assert {tuple(r) for r in counters(rows, open_ids).collect()} == {("final", 1, 2, 2, 0), ("inbox-3", 1, 1, 1, 1)}
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from helixframe import session
+
+    class Context:
+        master = "yarn"
+        _jsc = spark.sparkContext._jsc
+        getConf = spark.sparkContext.getConf
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError):
+            session.shared_dir(Session())
