@@ -13,7 +13,7 @@ from helixframe.llm.near_dups import without_near_duplicates
 from helixframe.llm.packing import pack
 from helixframe.llm.quality import fit_quality, keep_quality
 from helixframe.llm.suffixes import without_repeats
-from helixframe.session import stored, table
+from helixframe.session import discard, scratch, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; of the tables that they store only the last one's result is left."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        with scratch(spark):
+            kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        for path in {p.rpartition("/")[0] for p in docs.inputFiles()} if i else ():
+            discard(spark, path)
+        docs = kept
     return docs

@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,14 +38,50 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stored_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: What scratch() is to delete, the innermost one last; and all that is left, to be deleted when the process ends.
+_SCRATCH: list[list[str]] = []
+_LEFT: dict[str, SparkSession] = {}
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, in the end, the tables that were stored within it, but for lasting ones."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
+def _discard_left() -> None:
+    while _LEFT and SparkContext._active_spark_context is not None:
+        path, spark = _LEFT.popitem()
+        try:
+            discard(spark, path)
+        except (Py4JError, OSError):  # the JVM has ended before
+            return
+
+
+atexit.register(_discard_left)
+
+
+def stored_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder in the shared one. Unless it is lasting, it goes with the scratch() around it, or with the process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting:
+        _LEFT[path] = spark
+        if _SCRATCH:
+            _SCRATCH[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, *partition_by: str, lasting: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = stored_path(spark, name)
+    path = stored_path(spark, name, lasting)
     writer = df.write.partitionBy(*partition_by).option("compression", "zstd")
     writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody else waits for it
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +99,7 @@ def stored_if_large(df: DataFrame, rows: int, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of stored() that nothing reads any more."""
+    _LEFT.pop(path, None)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -220,3 +220,18 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(ValueError):
             session.shared_dir(Session())
+
+
+def test_scratch_tables_go_and_lasting_ones_stay(spark, tmp_path):
+    from helixframe import session
+
+    rows = spark.range(5)
+    with session.scratch(spark):
+        inner, lasting = session.stored(rows, "inner"), session.stored(rows, "lasting", lasting=True)
+        with session.scratch(spark):
+            innermost = session.stored(inner, "innermost")
+            paths = [df.inputFiles()[0].removeprefix("file:").replace("///", "/") for df in (inner, lasting, innermost)]
+            assert all(Path(p).exists() for p in paths)
+        assert [Path(p).exists() for p in paths] == [True, True, False]
+    assert [Path(p).exists() for p in paths] == [False, True, False]
+    assert lasting.count() == 5 and not any(p.rpartition("/")[0] in str(session._LEFT) for p in paths)
