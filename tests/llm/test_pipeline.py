@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from helixframe.llm.quality import fit_quality, score_quality
+from helixframe.session import shared_dir
 from tests.llm.test_near_dups import brute_force as groups
 from tests.llm.test_suffixes import brute_force as spans
 
@@ -49,7 +51,11 @@ def test_every_stage_equals_its_brute_force_on_what_it_gets(spark, corpus, words
             assert n - removed == len(left)
     held = {i for i, x in leaks.items() if i in before["decontaminate"] and item[x][1] in before["decontaminate"][i]}
     assert held and set(before["decontaminate"]) - set(after["decontaminate"]) == held
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    there = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    packed = result.collect()
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - there
+    assert {n.rpartition("-")[0] for n in left} == {"pipeline-packing"} and len(left) == 1
     size = {}
     for r in packed:
         size[r["doc_id"]] = size.get(r["doc_id"], 0) + r["length"]
