@@ -19,9 +19,9 @@ from helixframe.operators.kmers import Graph, broken_arcs, de_bruijn, half_arcs,
 from helixframe.operators.ranking import numbered
 from helixframe.plans import assemble as plans
 from helixframe.plans import sql as S
-from helixframe.session import stored_path, table
+from helixframe.session import stored, stored_path, table
 from helixframe.sources import graphs
-from helixframe.sources.reads import document_reads, lineitem_reads, split_unknown
+from helixframe.sources.reads import category, document_reads, lineitem_reads, read_fasta, read_fastq, read_tabbed, split_unknown
 from helixframe.streaming.spectrum import GrowingGraph, read_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,56 @@ def minikmer(spark, sf_dir):
     return rows.groupBy(K.mini_kmer(F.col("kmer"), KG, M).alias("mini")).agg(F.count("*").alias("kmers"), F.sum("occ").alias("occ"))
 
 
+def _written(spark, lines: DataFrame, name: str) -> str:
+    """The folder of text files with these lines (value)."""
+    path = stored_path(spark, name)
+    lines.select("value").write.text(path)
+    return path
+
+
+SCANNED = f"WITH {S.LINEITEM_READS} SELECT seq, count(*) AS n, {{0}} AS category FROM reads GROUP BY 1"
+
+
+@query(SCANNED.format(1))
+def fasta_scan(spark, sf_dir):
+    """Reads as FASTA with lower and upper case headers, sequences over two lines, and back."""
+    seq = F.col("seq")
+    value = F.concat(F.lit(">read "), F.col("read_id").cast("string"), F.lit("\n"), F.substring(seq, 1, 20), F.lit("\r\n"), F.substring(seq, 21, 2**30))
+    found = read_fasta(spark, _written(spark, lineitem_reads(spark, sf_dir).withColumn("value", value), "fasta"), category("shortPaired"))
+    return found.groupBy("seq", "category").agg(F.count("*").alias("n"))
+
+
+@query(SCANNED.format(4))
+def fastq_scan(spark, sf_dir):
+    """Reads as FASTQ, every third with a quality that begins with an at sign, and back."""
+    quality = F.when(F.col("read_id") % 3 == 0, F.repeat(F.lit("@"), 36)).otherwise(F.repeat(F.lit("I"), 36))
+    value = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), quality)
+    found = read_fastq(spark, _written(spark, lineitem_reads(spark, sf_dir).withColumn("value", value), "fastq"), category("long"))
+    return found.groupBy("seq", "category").agg(F.count("*").alias("n"))
+
+
+@query(SCANNED.format(2))
+def tabbed_scan(spark, sf_dir):
+    """Reads as the fifth field of tabbed lines, and back."""
+    value = F.concat(F.lit("1\t2\t\tx\t"), F.col("seq"), F.lit("\tq"))
+    found = read_tabbed(spark, _written(spark, lineitem_reads(spark, sf_dir).withColumn("value", value), "tabbed"), category_id=category("short2"))
+    return found.groupBy("seq", "category").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {S.LINEITEM_READS}, {S.counts(KG)}, coded AS (SELECT kmer, occ, {S.code('kmer', KG)} AS code FROM counts)
+SELECT kmer, (code & ~(3::BIGINT << 8)) | (1::BIGINT << 8) AS changed, kmer || substr({S.rc('kmer')}, {KG}) AS joined, least(occ, 3)::BIGINT AS weight, ((code << 2) | 3) & {K.mask(KG)} AS shifted, (code >> 6) & 3 AS base
+FROM coded
+""")
+def kmer_edits(spark, sf_dir):
+    rows = kmer_counts(lineitem_reads(spark, sf_dir), KG).withColumn("code", K.encode(F.col("kmer")))
+    code = F.col("code")
+    return rows.select(
+        "kmer", K.with_base(code, 4, F.lit(1)).alias("changed"), K.joined(F.col("kmer"), K.reverse_complement(F.col("kmer")), KG).alias("joined"),
+        K.saturated(F.col("occ"), 3).cast("long").alias("weight"), K.prepend_base(code, F.lit(3), KG).alias("shifted"), K.base_at(code, 3).alias("base"),
+    )
+
+
 # Counting
 
 
@@ -411,6 +461,22 @@ def chain_lines(spark, sf_dir):
     return graphs.contig_lines(chains(spark, sf_dir))
 
 
+@query(f"WITH {CHAINS} SELECT n_kmers, format('{{:g}}', coverage)::DOUBLE AS coverage, seq FROM chains")
+def pregraph_scan(spark, sf_dir):
+    """Chains as a text graph, and back."""
+    path = stored_path(spark, "pregraph")
+    graphs.write_pregraph(chains(spark, sf_dir), path, KG, 1)
+    return graphs.read_pregraph(spark, path)[1].select("n_kmers", "coverage", "seq")
+
+
+@query(f"WITH {CHAINS} SELECT n_kmers, coverage FROM chains")
+def coverage_scan(spark, sf_dir):
+    """Chains as a tabbed coverage database, and back."""
+    path = stored_path(spark, "coverage")
+    graphs.write_coverage_database(chains(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").schema("n_kmers int, coverage double").csv(path)
+
+
 @query(f"WITH {CHAINS} SELECT node_id, n_kmers FROM chains WHERE coverage >= 2 AND coverage <= 4")
 def chain_cutoff(spark, sf_dir):
     graph = cut_coverage(compact(de_bruijn(lineitem_reads(spark, sf_dir), KG)), 2, 4)
@@ -570,6 +636,41 @@ def read_routing(spark, sf_dir):
     return out.groupBy("part", "paired").agg(F.count("*").alias("reads"), F.min("read_id").alias("least"))
 
 
+JUNCTIONS = f"""RECURSIVE {S.LINEITEM_READS}, {S.counts(KG)}, {S.arcs(KG)}, sides AS (SELECT kmer AS id, side, kmer || '|' || side AS name FROM counts, (VALUES ('L'), ('R')) v(side)),
+met AS (SELECT src || '|' || side AS a, dst || '|' || dst_side AS b FROM arcs), bare AS (SELECT DISTINCT id FROM sides WHERE name NOT IN (SELECT a FROM met)),
+links AS (SELECT a, b FROM met UNION SELECT id || '|L', id || '|R' FROM bare UNION SELECT id || '|R', id || '|L' FROM bare),
+reach AS (SELECT name, name AS r FROM sides UNION SELECT reach.name, links.b FROM reach JOIN links ON links.a = reach.r),
+placed AS (SELECT id, side, dense_rank() OVER (ORDER BY c) - 1 AS vid FROM (SELECT name, min(r) AS c FROM reach GROUP BY 1) JOIN sides USING (name)),
+found AS (SELECT id, max(vid) FILTER (side = 'L') AS l, max(vid) FILTER (side = 'R') AS r FROM placed GROUP BY 1),
+sure AS (SELECT l AS vid, r AS next FROM found WHERE l <> r UNION SELECT r, l FROM found WHERE l <> r),
+every AS (SELECT count(DISTINCT vid) AS n FROM placed),
+single AS (SELECT DISTINCT vid, (vid + 1) % n AS next FROM placed, every WHERE vid NOT IN (SELECT vid FROM sure)),
+edges AS (SELECT vid, next FROM sure UNION SELECT vid, next FROM single UNION SELECT next, vid FROM single)"""
+
+
+def _junctions(spark, sf_dir):
+    reads = lineitem_reads(spark, sf_dir)
+    return stored(distribute.junctions(kmer_counts(reads, KG).withColumnRenamed("kmer", "id"), half_arcs(reads, KG)), "junctions")
+
+
+@query(f"WITH {JUNCTIONS} SELECT id, l AS left_vid, r AS right_vid FROM found")
+def kmer_junctions(spark, sf_dir):
+    return _junctions(spark, sf_dir)
+
+
+@query(f"WITH {JUNCTIONS} SELECT 0::BIGINT AS number, (SELECT count(DISTINCT vid) FROM edges) || ' ' || (SELECT count(*) // 2 FROM edges) AS value UNION ALL SELECT vid + 1, string_agg((next + 1)::VARCHAR, ' ' ORDER BY next) FROM edges GROUP BY vid")
+def kmer_metis_lines(spark, sf_dir):
+    return graphs.metis_lines(distribute.junction_edges(_junctions(spark, sf_dir)))
+
+
+@query(f"WITH {JUNCTIONS} SELECT id, unnest(list_distinct([l % 5, r % 5]))::INT AS part, l % 5 <> r % 5 AS shared FROM found")
+def node_distribution(spark, sf_dir):
+    """Nodes dealt out to five partitions of junctions."""
+    found = _junctions(spark, sf_dir)
+    vids = found.select(F.explode(F.array("left_vid", "right_vid")).alias("vid")).distinct()
+    return distribute.dealt_nodes(found, vids.withColumn("part", (F.col("vid") % 5).cast("int")))
+
+
 @query()
 def metis_edges(spark, sf_dir):
     graph = plans.assemble(lineitem_reads(spark, sf_dir), GRAPH)
