@@ -45,6 +45,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches, some rows at a time, so that few texts are Python's at once; Spark bounds a batch by its bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.Table]:
     """The batches, without empty ones, in tables of `rows` rows or more, but for the last."""
     some: list[pa.RecordBatch] = []

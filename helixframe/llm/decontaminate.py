@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import sliced
+
 WINDOW, STRIDE = 64, 32
 #: An item of more words is as good as this many of them: the least that some passage holds of it.
 COVERED = WINDOW - STRIDE // 2
@@ -328,7 +330,7 @@ def without_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex = index) -> Iterator[pa.RecordBatch]:
             asker = Asker(index, threshold, overlap)
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not a for a in asker.ask([x.as_py() or "" for x in b.column(at)])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -343,7 +345,7 @@ def _leaks(docs: DataFrame, index: BlockMaxIndex, threshold: float, overlap: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = Asker(index, threshold, overlap)
-        for b in batches:
+        for b in sliced(batches):
             answers = asker.ask([x.as_py() or "" for x in b.column(1)])
             at = [i for i, a in enumerate(answers) for _ in a]
             flat = [x for a in answers for x in a]

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import sliced
+
 #: Pseudo-counts of each pair: of bytes, of words, of lines.
 PSEUDO = {
     "upper": 100, "digit": 100, "high": 100, "stop": 100, "symbol": 100, "space": 100, "distinct_words": 20,
@@ -106,7 +108,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000
     rows = docs.select("doc_id", "text").join(F.broadcast(train), F.col("doc_id") == F.col("label_id")).select("label_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             stats = pa.array([text_statistics(x.as_py()) for x in b.column(2)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), stats], names=["label_id", "quality", "stats"])
 
@@ -130,7 +132,7 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
     schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             score = _scores(model, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
@@ -142,7 +144,7 @@ def keep_quality(docs: DataFrame, model: Discriminant | None, threshold: float =
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(_scores(model, b.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import of_ids, packed, small_batches, unpacked
+from helixframe.llm.common import of_ids, packed, sliced, small_batches, unpacked
 from helixframe.session import stored
 
 GRAM = 20
@@ -694,7 +694,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     judged, spans = repeated_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.encode() for t in b.column(1).to_pylist()]
             found = [kept_parts(t, s) for t, s in zip(texts, b.column(2).to_pylist(), strict=True)]
             shas = [hashlib.sha256(t).hexdigest() for t in texts]
@@ -731,7 +731,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             *columns, cuts = b.columns
             texts, keep = [], []
             for text, spans in zip(columns[at].to_pylist(), cuts.to_pylist(), strict=True):

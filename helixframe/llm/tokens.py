@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.common import sliced
+
 CACHE_ENTRIES = 200_000
 
 
@@ -116,7 +118,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sizes, totals = batch.column(0), [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
