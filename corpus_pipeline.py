@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.llm.common import small_batches
 from helixframe.llm.decontaminate import without_leaks
 from helixframe.llm.near_dups import without_near_duplicates
 from helixframe.llm.packing import pack
@@ -57,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another; of the tables that they store only the last one's result is left."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        with scratch(spark):
+        with scratch(spark), small_batches(spark):
             kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
         for path in {p.rpartition("/")[0] for p in docs.inputFiles()} if i else ():
             discard(spark, path)
