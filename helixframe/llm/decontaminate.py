@@ -330,7 +330,7 @@ def without_leaks(
 
         def run(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex = index) -> Iterator[pa.RecordBatch]:
             asker = Asker(index, threshold, overlap)
-            for b in sliced(batches):
+            for b in sliced(batches, 2000):
                 yield b.filter(pa.array([not a for a in asker.ask([x.as_py() or "" for x in b.column(at)])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -345,7 +345,7 @@ def _leaks(docs: DataFrame, index: BlockMaxIndex, threshold: float, overlap: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = Asker(index, threshold, overlap)
-        for b in sliced(batches):
+        for b in sliced(batches, 2000):
             answers = asker.ask([x.as_py() or "" for x in b.column(1)])
             at = [i for i, a in enumerate(answers) for _ in a]
             flat = [x for a in answers for x in a]
