@@ -21,7 +21,7 @@ from helixframe.plans import assemble as plans
 from helixframe.plans import sql as S
 from helixframe.session import stored, stored_path, table
 from helixframe.sources import graphs
-from helixframe.sources.reads import category, document_reads, lineitem_reads, read_fasta, read_fastq, read_tabbed, split_unknown
+from helixframe.sources.reads import category, document_reads, lineitem_read_counts, lineitem_reads, read_fasta, read_fastq, read_tabbed, split_unknown
 from helixframe.streaming.spectrum import GrowingGraph, read_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,8 +649,8 @@ edges AS (SELECT vid, next FROM sure UNION SELECT vid, next FROM single UNION SE
 
 
 def _junctions(spark, sf_dir):
-    reads = lineitem_reads(spark, sf_dir)
-    return stored(distribute.junctions(kmer_counts(reads, KG).withColumnRenamed("kmer", "id"), half_arcs(reads, KG)), "junctions")
+    arcs = stored(half_arcs(lineitem_read_counts(spark, sf_dir), KG).select("src", "side", "dst", "dst_side"), "junction-arcs")
+    return stored(distribute.junctions(arcs.select(F.col("src").alias("id")).distinct(), arcs), "junctions")
 
 
 @query(f"WITH {JUNCTIONS} SELECT id, l AS left_vid, r AS right_vid FROM found")

@@ -10,12 +10,13 @@ from helixframe.functions import kmer as K
 from helixframe.functions.similarity import common_subsequence, kmer_distance, run_distance, similar
 from helixframe.operators.compact import compact, unitigs
 from helixframe.operators.kmers import broken_arcs, de_bruijn, half_arcs, kmer_counts, kmers, node_classes
-from helixframe.plans.assemble import Options, assemble, assemble_in_parts, contigs, reports
+from helixframe.plans.assemble import Options, assemble, assemble_in_parts, contigs, prepared, reports
 from helixframe.operators import distribute, partition
 from helixframe.operators.clip import reverse_complements_equal
 from helixframe.operators.components import connected_components
 from helixframe.operators.finish import cut_coverage
 from helixframe.operators.ranking import numbered
+from helixframe.sources.reads import counted, lineitem_read_counts, lineitem_reads
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -288,3 +289,32 @@ def test_super_kmers_of_long_reads(spark):
         assert p["seq"] == g[at - before : at + p["n_kmers"] + 14 + after]
         assert p["prefix_color"] == (whole[i - 1]["color"] if before else None) and p["suffix_color"] == (whole[i + 1]["color"] if after else None)
         at += p["n_kmers"]
+
+
+@pytest.mark.parametrize("k", [3, 9])
+def test_reads_with_a_number_count_as_often(spark, k):
+    seqs = [*sequences(20, 1, 150, k), "ACGT" * 20, "ACGT" * 20, "A" * 30] * 3
+    reads = frame(spark, seqs)
+    once = counted(reads)
+    assert once.agg(F.count("*"), F.sum("n")).first()[:] == (len(set(seqs)), len(seqs))
+    twice = counted(once.unionByName(once))
+    assert {r["n"] for r in twice.collect()} == {2 * n for n in Counter(seqs).values()}
+    for made in (lambda x: kmer_counts(x, k), lambda x: half_arcs(x, k), lambda x: half_arcs(x, k, None), lambda x: de_bruijn(x, k).nodes.select("id", "occs")):
+        want, got = made(reads), made(once).select(made(reads).columns)
+        assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+    split = prepared(once, Options(k=k, unknown="split"))
+    assert kmer_counts(split, k).exceptAll(kmer_counts(reads, k)).count() == 0
+
+
+def test_lineitem_reads_are_counted_before_they_are_made(spark, tmp_path):
+    rows = [(i % 40, i % 7, i % 500, i % 41, 1.0) for i in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    reads = {r["seq"]: r["n"] for r in counted(lineitem_reads(spark, str(tmp_path))).collect()}
+    found = Counter()
+    for r in lineitem_read_counts(spark, str(tmp_path)).collect():
+        found[r["seq"]] += r["n"]
+    assert found == reads and sum(reads.values()) == len({r[:4] for r in rows}) > len(reads)
+    genome = "".join("ACGT"[x * x % (2**31 - 1) // 7 % 4] for x in ((1_103_515_245 * i + 12_345) % (2**31 - 1) for i in range(1036)))
+    for order, line, part, supplier, _ in rows[:300]:
+        at, wrong = (order * 7919 + part * 13) % (1000 - 36), part % 36 if supplier % 20 == 0 else -1
+        assert "".join("ACGT"[("ACGT".index(b) + (i == wrong)) % 4] for i, b in enumerate(genome[at : at + 36])) in reads
