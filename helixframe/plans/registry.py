@@ -285,7 +285,7 @@ FAR = f"""{S.LINEITEM_READS}, {S.arcs(KG)}, far_arcs AS (
 
 
 def _far(spark, sf_dir):
-    return partition.coloured_arcs(lineitem_reads(spark, sf_dir), KG, M, RANGES)
+    return partition.coloured_arcs(lineitem_read_counts(spark, sf_dir), KG, M, RANGES)
 
 
 @query(f"WITH {FAR} SELECT src, side, base, weight, color, far FROM far_arcs WHERE far > 0")
@@ -326,14 +326,14 @@ COMPONENTS = f"""RECURSIVE {FAR}, {S.counts(KG)}, links AS (SELECT DISTINCT src,
 )"""
 
 
-def _components(spark, sf_dir):
-    nodes = kmer_counts(lineitem_reads(spark, sf_dir), KG).withColumnRenamed("kmer", "id")
-    return partition.components(nodes, _far(spark, sf_dir), PARTS)
+def _components(arcs: DataFrame) -> DataFrame:
+    """Of stored arcs, which tell all nodes."""
+    return partition.components(arcs.select(F.col("src").alias("id")), arcs, PARTS)
 
 
 @query(f"WITH {COMPONENTS} SELECT id, component, min_frontier::INT AS min_frontier, borders::BIGINT AS borders FROM found")
 def component_labels(spark, sf_dir):
-    return _components(spark, sf_dir)
+    return _components(stored(_far(spark, sf_dir), "far-arcs"))
 
 
 @query(f"""
@@ -341,7 +341,7 @@ WITH {COMPONENTS} SELECT CASE WHEN min_frontier = {PARTS + 1} THEN 'final' WHEN
   count(*) AS nodes, count(DISTINCT component) AS components FROM found GROUP BY 1
 """)
 def component_split(spark, sf_dir):
-    found = partition.targets(_components(spark, sf_dir), PARTS, 32)
+    found = partition.targets(component_labels(spark, sf_dir), PARTS, 32)
     return found.groupBy("target").agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
 
 
@@ -355,8 +355,8 @@ SELECT component, count(*) AS nodes, count(*) FILTER (l + r = 0) AS isolated, co
 FROM member GROUP BY 1
 """)
 def component_stats(spark, sf_dir):
-    arcs = _far(spark, sf_dir)
-    return report.component_stats(_components(spark, sf_dir), _classes(spark, sf_dir), arcs)
+    arcs = stored(_far(spark, sf_dir), "far-arcs")
+    return report.component_stats(_components(arcs), node_classes(None, arcs), arcs)
 
 
 @query(f"""
@@ -376,7 +376,7 @@ SELECT id, component FROM found WHERE component IN (SELECT component FROM found
 def related_components(spark, sf_dir):
     """Components that the arcs of the partitions above 32 touch in those up to 32."""
     arcs = _far(spark, sf_dir)
-    return partition.related(_components(spark, sf_dir), arcs.where("color > 32 and far between 1 and 32")).select("id", "component")
+    return partition.related(_components(stored(arcs, "far-arcs")), arcs.where("color > 32 and far between 1 and 32")).select("id", "component")
 
 
 OPEN = f"""RECURSIVE {FAR}, loaded AS (SELECT src, side, weight, dst, dst_side, CASE WHEN far <= 60 THEN 0 ELSE far END AS far FROM far_arcs WHERE color <= 60),

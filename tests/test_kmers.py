@@ -318,3 +318,13 @@ def test_lineitem_reads_are_counted_before_they_are_made(spark, tmp_path):
     for order, line, part, supplier, _ in rows[:300]:
         at, wrong = (order * 7919 + part * 13) % (1000 - 36), part % 36 if supplier % 20 == 0 else -1
         assert "".join("ACGT"[("ACGT".index(b) + (i == wrong)) % 4] for i, b in enumerate(genome[at : at + 36])) in reads
+
+
+def test_component_stats_make_arcs_once(spark, tmp_path, monkeypatch):
+    from helixframe.plans import registry
+
+    spark.createDataFrame([(i, i % 7, i % 5, i % 3, 1.0) for i in range(40)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made, far = [], registry._far
+    monkeypatch.setattr(registry, "_far", lambda *a: made.append(far(*a)) or made[-1])
+    plan = registry.queries()["component_stats"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "lineitem" not in plan and "l_orderkey" not in plan
