@@ -375,8 +375,8 @@ SELECT id, component FROM found WHERE component IN (SELECT component FROM found
 """)
 def related_components(spark, sf_dir):
     """Components that the arcs of the partitions above 32 touch in those up to 32."""
-    arcs = _far(spark, sf_dir)
-    return partition.related(_components(stored(arcs, "far-arcs")), arcs.where("color > 32 and far between 1 and 32")).select("id", "component")
+    arcs = stored(_far(spark, sf_dir), "far-arcs")
+    return partition.related(_components(arcs), arcs.where("color > 32 and far between 1 and 32")).select("id", "component")
 
 
 OPEN = f"""RECURSIVE {FAR}, loaded AS (SELECT src, side, weight, dst, dst_side, CASE WHEN far <= 60 THEN 0 ELSE far END AS far FROM far_arcs WHERE color <= 60),
