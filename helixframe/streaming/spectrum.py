@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from helixframe.functions import kmer as K
 from helixframe.operators.kmers import half_arcs, kmer_counts
-from helixframe.session import discard, stored_path
+from helixframe.session import discard, stored, stored_path
+from helixframe.sources.reads import counted
 
 READS = "read_id long, seq string"
 
@@ -70,8 +71,11 @@ class GrowingGraph:
         bases, batches = self._complete()
         if batch in batches or (bases and batch <= bases[-1]):
             return
+        reads = stored(counted(reads), "batch")  # nodes and arcs are both made from each different read once
         arcs = half_arcs(reads, self.k, max_weight=None)
         self._write(kmer_counts(reads, self.k), arcs.withColumn("weight", F.col("weight").cast("long")), f"batch-{batch}")
+        for path in {p.rpartition("/")[0] for p in reads.inputFiles()}:
+            discard(self.spark, path)
         if (batch + 1) % self.every == 0:
             self._write(self._read("nodes"), self._read("arcs"), f"base-{batch}")
             for name in [f"base-{n}" for n in bases[:-1]] + [f"batch-{n}" for n in batches if bases and n <= bases[-1]]:
