@@ -485,7 +485,7 @@ def chain_cutoff(spark, sf_dir):
 
 @query()
 def clipped_unitigs(spark, sf_dir):
-    return unitigs(plans.assemble(lineitem_reads(spark, sf_dir), GRAPH))
+    return unitigs(plans.assemble(lineitem_read_counts(spark, sf_dir), GRAPH))
 
 
 @query()
