@@ -505,7 +505,7 @@ def contigs_over_100(spark, sf_dir):
 
 @query()
 def contig_report(spark, sf_dir):
-    return report.contig_stats(unitigs(plans.assemble(lineitem_reads(spark, sf_dir), GRAPH)))
+    return report.contig_stats(unitigs(plans.assemble(lineitem_read_counts(spark, sf_dir), GRAPH)))
 
 
 @query()
