@@ -500,7 +500,7 @@ def popped_contigs(spark, sf_dir):
 
 @query()
 def contigs_over_100(spark, sf_dir):
-    return plans.contigs(lineitem_reads(spark, sf_dir), GRAPH, 100)
+    return plans.contigs(lineitem_read_counts(spark, sf_dir), GRAPH, 100)
 
 
 @query()
