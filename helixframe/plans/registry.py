@@ -673,7 +673,7 @@ def node_distribution(spark, sf_dir):
 
 @query()
 def metis_edges(spark, sf_dir):
-    graph = plans.assemble(lineitem_reads(spark, sf_dir), GRAPH)
+    graph = plans.assemble(lineitem_read_counts(spark, sf_dir), GRAPH)
     return distribute.junction_edges(distribute.junctions(graph.nodes, graph.arcs))
 
 
