@@ -515,7 +515,7 @@ def unitig_coverage_hist(spark, sf_dir):
 
 @query()
 def pregraph_lines(spark, sf_dir):
-    return graphs.contig_lines(unitigs(plans.assemble(lineitem_reads(spark, sf_dir), GRAPH)))
+    return graphs.contig_lines(unitigs(plans.assemble(lineitem_read_counts(spark, sf_dir), GRAPH)))
 
 
 LENGTHS = "lengths AS (SELECT length(text)::BIGINT AS len FROM documents WHERE length(text) > 0)"
