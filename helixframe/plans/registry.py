@@ -510,7 +510,7 @@ def contig_report(spark, sf_dir):
 
 @query()
 def unitig_coverage_hist(spark, sf_dir):
-    return report.coverage_histogram(unitigs(plans.assemble(lineitem_reads(spark, sf_dir), GRAPH)))
+    return report.coverage_histogram(unitigs(plans.assemble(lineitem_read_counts(spark, sf_dir), GRAPH)))
 
 
 @query()
