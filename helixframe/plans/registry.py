@@ -495,7 +495,7 @@ def clipped_in_parts(spark, sf_dir):
 
 @query()
 def popped_contigs(spark, sf_dir):
-    return plans.contigs(lineitem_reads(spark, sf_dir), plans.Options(k=21, bubbles=True, cov_cutoff=2.0))
+    return plans.contigs(lineitem_read_counts(spark, sf_dir), plans.Options(k=21, bubbles=True, cov_cutoff=2.0))
 
 
 @query()
